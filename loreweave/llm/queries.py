@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprint import fingerprints
+from .html import extract
 from .jaccard import jaccard_components
+from .media import digests, store
 from .packing import pack
+from .pieces import round_trip
 from .quality import resample
+from .sentences import dedup_sentences
 from .suffix import dedup_substrings
 from .toxicity import held_out, score_toxicity
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -22,10 +35,23 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return digests(store(docs)).drop("text", "media")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), 50).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -42,4 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op4_quality_classifier, op6_packing, op9_suffix_array_dedup, op10_toxicity, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_fingerprints, op3_ngram_jaccard_join, op4_quality_classifier, op5_sentencepiece, op6_packing, op7_media_columns, op8_html_extraction, op9_suffix_array_dedup, op10_toxicity, pipeline)
+}

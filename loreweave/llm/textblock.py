@@ -110,10 +110,10 @@ def _next_cut(buf: np.ndarray, cut: int, end: int, size: int) -> int:
     return end
 
 
-def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, gap: Callable = is_space, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, gap: Callable = is_space, size: int = BLOCK, places: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash (uint64) of each maximal run of bytes that are no ``gap``, in order; and each row's first word and end.
 
-    White space must be part of ``gap``.
+    White space must be part of ``gap``. ``places`` gets arrays of the words' first bytes.
     """
     hashes, counts = [], np.zeros(len(starts), np.int64)
     for i, j, cut in blocks(buf, starts, ends, size):
@@ -137,6 +137,8 @@ def words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = T
         if not len(s):
             continue
         hashes.append(_hash_block(b, s, e))
+        if places is not None:
+            places.append(s + lo)
         if cut < 0:
             counts[i:j] += np.searchsorted(s, ends[i:j] - lo) - np.searchsorted(s, starts[i:j] - lo)
         else:
