@@ -38,26 +38,34 @@ def lexicon(docs: DataFrame, least_idf: float, most_idf: float) -> bytearray:
     return band
 
 
-def _subset(kept: str, lane: int, scale: int) -> Column:
-    return F.filter(kept, lambda t: F.pmod(F.xxhash64(t, F.lit(lane)), F.lit(scale)) == 0)
+def _lane(kept: Column, lane: Column) -> Column:
+    """Hashes of one lane's subsets of the kept terms, from the largest to the smallest; 0 for an empty one."""
+
+    def step(terms_: Column, k: int, found: list[Column]) -> Column:
+        if k == len(SCALES):
+            return F.array(*[_hashed(x) for x in found])
+        inner = F.filter(terms_, lambda t: F.pmod(F.xxhash64(t, lane), F.lit(SCALES[k])) == 0)
+        return F.transform(F.array(inner), lambda x: step(x, k + 1, [*found, x]))[0]
+
+    return step(kept, 0, [])
+
+
+def _hashed(x: Column) -> Column:
+    return F.when(F.size(x) > 0, F.xxhash64(x)).otherwise(F.lit(0).cast("long"))
 
 
 def with_signatures(df: DataFrame, text: str, out: str, band: bytearray) -> DataFrame:
-    """Adds ``out``: hashes of the kept terms and of each lane's subsets, 0 for an empty set.
+    """Adds ``out``: hashes of the kept terms and of each lane's subsets, lane by lane, 0 for an empty set.
 
-    A text without a term in the band is represented by all its terms.
+    A text without a term in the band is represented by all its terms. The
+    subsets are nested functions of arrays, which keeps the generated code
+    small whatever the number of lanes.
     """
     a, b = f"__all_{out}", f"__band_{out}"
     df = df.withColumn(a, terms(F.col(text))).withColumn(b, F.filter(a, lambda t: F.substring(F.lit(band), F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)) == F.lit(bytearray([1]))))
     df = df.withColumn(b, F.when(F.size(b) > 0, F.col(b)).otherwise(F.col(a)))
-    hashed = lambda c: F.when(F.size(c) > 0, F.xxhash64(c)).otherwise(F.lit(0).cast("long"))
-    names, last, drop = [], {lane: b for lane in range(LANES)}, [a, b]
-    for k, scale in enumerate(SCALES):
-        step = {lane: f"__{out}_{lane}_{k}" for lane in range(LANES)}
-        df = df.withColumns({step[lane]: _subset(last[lane], lane, scale) for lane in range(LANES)})
-        names += [step[lane] for lane in range(LANES)]
-        last = step
-    return df.withColumn(out, F.array(hashed(b), *[hashed(c) for c in names])).drop(*drop, *names)
+    lanes = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda lane: _lane(F.col(b), lane)))
+    return df.withColumn(out, F.concat(F.array(_hashed(F.col(b))), lanes)).drop(a, b)
 
 
 def fingerprint(signatures: Column) -> Column:
@@ -66,15 +74,14 @@ def fingerprint(signatures: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of lanes whose smallest subset that holds a term of either text is hashed alike; 1 for equal signatures."""
-    score, n = F.lit(0.0), F.lit(0.0)
-    for lane in range(LANES):
-        same, any_ = F.lit(0.0), F.lit(0.0)
-        for k in range(len(SCALES)):
-            x, y = a[1 + k * LANES + lane], b[1 + k * LANES + lane]
-            held = (x != 0) | (y != 0)
-            same, any_ = F.when(held, (x == y).cast("double")).otherwise(same), F.when(held, 1.0).otherwise(any_)
-        score, n = score + same, n + any_
-    return F.when(a == b, 1.0).when(n > 0, score / n).otherwise(0.0)
+
+    def lane_alike(lane: Column) -> Column:
+        at = lambda k: lane * len(SCALES) + k + 1
+        steps = F.sequence(F.lit(0), F.lit(len(SCALES) - 1))
+        return F.aggregate(steps, F.lit(-1), lambda was, k: F.when((a[at(k)] != 0) | (b[at(k)] != 0), (a[at(k)] == b[at(k)]).cast("int")).otherwise(was))
+
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane_alike), lambda x: x >= 0)
+    return F.when(a == b, 1.0).when(F.size(held) > 0, F.aggregate(held, F.lit(0), lambda x, y: x + y) / F.size(held)).otherwise(0.0)
 
 
 def with_next(docs: DataFrame, carried: list[str], group_rows: int = 256) -> DataFrame:
@@ -89,7 +96,7 @@ def with_next(docs: DataFrame, carried: list[str], group_rows: int = 256) -> Dat
     width = max(1.0, (float(hi) - float(lo) + 1) / max(1, -(-n // group_rows)))
     dealt = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id").cast("double") - float(lo)) / width), F.lit(-1)))
     w = Window.partitionBy("range").orderBy("doc_id", F.xxhash64("text"))
-    seen = dealt.withColumns({f"next_{c}": F.lag(c).over(w) for c in carried} | {"__rank": F.row_number().over(w), "__after": F.lead(F.lit(1)).over(w)})
+    seen = dealt.withColumns({f"next_{c}": F.lag(c).over(w) for c in carried} | {"__before": F.lag(F.lit(1)).over(w), "__after": F.lead(F.lit(1)).over(w)})
     names = [*docs.columns, *(f"next_{c}" for c in carried)]
     tops = seen.where(F.col("__after").isNull()).select(F.col("range").alias("below"), *[F.col(c).alias(f"next_{c}") for c in carried])
     # the range before each range, by spans of 4,096 ranges, then by the few spans
@@ -98,8 +105,8 @@ def with_next(docs: DataFrame, carried: list[str], group_rows: int = 256) -> Dat
     every = Window.orderBy("span")
     spans = spans.withColumn("before", F.coalesce(F.lag("top").over(every), F.max("top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("span", "before")
     below = ranges.join(spans, "span").select("range", F.coalesce(F.lag("range").over(Window.partitionBy("span").orderBy("range")), "before").alias("below"))
-    edge = seen.where(F.col("__rank") == 1).select("range", *docs.columns).join(below, "range").join(tops, "below").select(*names)
-    return seen.where(F.col("__rank") > 1).select(*names).union(edge)
+    edge = seen.where(F.col("__before").isNull()).select("range", *docs.columns).join(below, "range").join(tops, "below").select(*names)
+    return seen.where(F.col("__before").isNotNull()).select(*names).union(edge)
 
 
 def fingerprints(docs: DataFrame, least_idf: float = 1.6, most_idf: float = 12.0) -> DataFrame:
