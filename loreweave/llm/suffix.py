@@ -11,7 +11,9 @@ be compared where anchors are equal.
    anchor. Only those few send their bytes.
 3. Stretches with one anchor are cut into suffixes, sorted by a merge sort that
    compares by binary search over prefix hashes, and windows are looked up
-   among neighbours in that order; equal hashes are verified byte by byte.
+   among neighbours in that order. Where only a few stretches share an anchor,
+   the same binary search finds each two's common extension to both sides, and
+   nothing has to be sorted. Equal hashes are verified byte by byte.
 4. Each batch gets its removed ranges back and applies them.
 """
 
@@ -30,6 +32,8 @@ from .common import batch_count, batch_of, text_bytes
 
 U = np.uint64
 GRAM = 16
+#: Up to so many stretches of one anchor are compared two by two.
+FEW = 6
 BLOCK = 1 << 20
 _B = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(_B), -1, 1 << 64))
@@ -312,33 +316,87 @@ def _compare(marks: pa.Table, length: int) -> pa.Table:
 def _compare_part(sent: pa.Table, length: int) -> pa.Table:
     buf, base, end = tb.columns(sent.column("data"))
     base, buf = base - base[0], buf[base[0] : end[-1]]
-    count, gap = sent.column("count").to_numpy(), sent.column("gap").to_numpy()
+    count, gap = sent.column("count").to_numpy().astype(np.int64), sent.column("gap").to_numpy().astype(np.int64)
     anchor, doc = sent.column("anchor").to_numpy(), sent.column("doc_id").fill_null(NONE).to_numpy()
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    size = np.diff(np.append(np.flatnonzero(new), len(anchor)))
+    few = np.repeat(size <= FEW, size)
+    found = [_two_by_two(buf, base + gap, gap, count + length - 1 - gap, doc, new, size, length)]
+    many = np.flatnonzero(~few)
+    if len(many):
+        found.append(_sorted(buf, base[many], count[many], gap[many], anchor[many], doc[many], many, length))
+    row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(row, kind="stable")
+    row, at = row[order], sent.column("at").to_numpy()[row[order]]
+    lo, hi = lo[order] + at, hi[order] + at
+    keep = pa.array(np.unique(row))
+    ids, hashes, batch = (sent.column(c).take(keep).to_pylist() for c in ("doc_id", "text_hash", "batch"))
+    return _rows([(batch[k], ids[k], hashes[k], merge_ranges(lo[a:z], hi[a:z]).tobytes()) for k, (_, a, z) in enumerate(_runs(row))], "batch int, doc_id long, text_hash long, data binary")
+
+
+def _verify(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+    """Raises unless buf[a:a+n] equals buf[b:b+n] everywhere."""
+    span, last = np.arange(int(n.max()) if len(n) else 0), len(buf) - 1
+    for c in range(0, len(a), 100_000):
+        x, y = a[c : c + 100_000, None] + span, b[c : c + 100_000, None] + span
+        if ((buf[np.minimum(x, last)] != buf[np.minimum(y, last)]) & (span < n[c : c + 100_000, None])).any():
+            raise ArithmeticError("substrings with equal hashes differ")
+
+
+def _two_by_two(buf: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, new: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Stretch, start and end (from the stretch's first byte) of what it shares with a stretch of an earlier document.
+
+    ``left`` and ``right`` are the bytes of each stretch before and from its
+    anchor; ``new`` and ``size`` bound the groups, of which small ones are done.
+    """
+    h = PrefixHash(buf)
+    group = np.cumsum(new) - 1
+    out = []
+    for step in range(1, FEW):
+        i = np.flatnonzero((group[:-step] == group[step:]) & (size[group[:-step]] <= FEW)) if len(group) > step else np.zeros(0, np.int64)
+        j = i + step
+        swap = doc[i] > doc[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        i, j = i[doc[i] < doc[j]], j[doc[i] < doc[j]]
+        if not len(i):
+            continue
+        fore = common_length(h, anchor[i], anchor[j], np.minimum(right[i], right[j]))
+        back = _common_before(h, anchor[i], anchor[j], np.minimum(left[i], left[j]))
+        ok = fore + back >= length
+        i, j, fore, back = i[ok], j[ok], fore[ok], back[ok]
+        _verify(buf, anchor[i] - back, anchor[j] - back, fore + back)
+        out.append((j, left[j] - back, left[j] + fore))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
+def _common_before(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common extension to the left of a and b, at most ``most``."""
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    while (open_ := low < high).any():
+        mid = (low + high + 1) // 2
+        same = h.of(a - mid, a) == h.of(b - mid, b)
+        low = np.where(open_ & same, mid, low)
+        high = np.where(open_ & ~same, mid - 1, high)
+    return low
+
+
+def _sorted(buf: np.ndarray, base: np.ndarray, count: np.ndarray, gap: np.ndarray, anchor: np.ndarray, doc: np.ndarray, name: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """As _two_by_two for groups of any size: all windows sorted as suffixes, looked up among equal neighbours."""
     row = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = base[row] + step
     # equal windows have their anchor at one distance: only those are sorted together
-    away = gap[row] - step
-    _, name = np.unique(anchor, return_inverse=True)
-    group = name[row].astype(np.int64) * 256 + away
+    _, ordinal = np.unique(anchor, return_inverse=True)
+    group = ordinal[row].astype(np.int64) * 256 + (gap[row] - step)
     order, common = suffix_sort(buf, start, group, np.full(len(buf), length, np.int64))
     at = start[order]
     same = np.flatnonzero(common >= length)
-    if len(same):
-        for c in range(0, len(same), 200_000):
-            part = same[c : c + 200_000]
-            span = np.arange(length)
-            good = (buf[at[part - 1][:, None] + span] == buf[at[part][:, None] + span]).all(1)
-            if not good.all():
-                raise ArithmeticError("windows with equal hashes differ")
+    _verify(buf, at[same - 1], at[same], np.full(len(same), length))
     klass = np.cumsum(common < length) - 1
     d = doc[row[order]]
     least = np.minimum.reduceat(d, np.flatnonzero(common < length))
-    hit = d > least[klass]
-    pick = np.sort(order[hit])
-    r, lo = row[pick], sent.column("at").to_numpy()[row[pick]] + step[pick]
-    ids, hashes, batch = sent.column("doc_id").to_pylist(), sent.column("text_hash").to_pylist(), sent.column("batch").to_pylist()
-    return _rows([(batch[k], ids[k], hashes[k], merge_ranges(lo[a:z], lo[a:z] + length).tobytes()) for k, a, z in _runs(r)], "batch int, doc_id long, text_hash long, data binary")
+    pick = order[d > least[klass]]
+    return name[row[pick]], step[pick], step[pick] + length
 
 
 def _apply(docs: pa.Table, ranges: pa.Table) -> pa.Table:
