@@ -59,7 +59,8 @@ class PrefixHash:
 
 def common_length(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Length of the common extension of suffixes a and b, at most ``most``: binary search over equal prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), most.copy()
+    whole = h.of(a, a + most) == h.of(b, b + most)
+    low, high = np.where(whole, most, 0), np.where(whole, most, most - 1)
     while (open_ := low < high).any():
         mid = (low + high + 1) // 2
         same = h.of(a, a + mid) == h.of(b, b + mid)
@@ -388,6 +389,13 @@ def _sorted(buf: np.ndarray, base: np.ndarray, count: np.ndarray, gap: np.ndarra
     # equal windows have their anchor at one distance: only those are sorted together
     _, ordinal = np.unique(anchor, return_inverse=True)
     group = ordinal[row].astype(np.int64) * 256 + (gap[row] - step)
+    # a window whose hash no other one has can't be repeated and needs no place in the order
+    h = PrefixHash(buf)
+    _, which, times = np.unique(tb.mix(h.of(start, start + length)) ^ tb.mix(group.astype(np.uint64)), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[which] > 1)
+    row, step, start, group = row[again], step[again], start[again], group[again]
+    if not len(row):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     order, common = suffix_sort(buf, start, group, np.full(len(buf), length, np.int64))
     at = start[order]
     same = np.flatnonzero(common >= length)
