@@ -75,7 +75,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 12, budge
     hist = sized.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
     top, count, total = (np.array([r[c] for r in hist], np.int64) for c in ("top", "n", "t"))
     bounds = choose_boundaries(top, count, total, buckets)
-    rows_in = [int(count[(top > lo) & (top <= hi)].sum()) for lo, hi in zip([-1, *bounds[:-1]], bounds, strict=True)]
+    rows_in = [int(count[(top > lo) & (top <= hi)].sum()) for lo, hi in zip([-1, *bounds], bounds, strict=False)]
     shards = [max(1, -(-r // shard_rows)) for r in rows_in]
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1) if values else F.lit(None).cast("long")
     bucket = F.lit(0)

@@ -38,7 +38,8 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     word = np.flatnonzero(new)
     row = np.repeat(np.arange(len(starts)), end - first)[word]
     begin = at[word] - starts[row]
-    begin[np.append(True, row[1:] != row[:-1])] = 0 if len(row) else begin[:0]
+    if len(row):
+        begin[np.append(True, row[1:] != row[:-1])] = 0
     return row, begin, np.column_stack((word, np.append(word[1:], len(at)))) if len(word) else np.zeros((0, 2), np.int64), h
 
 
