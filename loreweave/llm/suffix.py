@@ -13,7 +13,10 @@ be compared where anchors are equal.
    compares by binary search over prefix hashes, and windows are looked up
    among neighbours in that order. Where only a few stretches share an anchor,
    the same binary search finds each two's common extension to both sides, and
-   nothing has to be sorted. Equal hashes are verified byte by byte.
+   nothing has to be sorted. Equal hashes are verified byte by byte. The
+   windows of an anchor with very many stretches (the edges of a passage that
+   a large part of all documents holds) are dealt by their own 64-bit hashes,
+   one for each batch and window, so that no task has to hold them all.
 4. Each batch gets its removed ranges back and applies them.
 """
 
@@ -23,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ U = np.uint64
 GRAM = 16
 #: Up to so many stretches of one anchor are compared two by two.
 FEW = 6
+#: Over so many, their windows are dealt by their own hashes instead.
+HOT = 2000
 BLOCK = 1 << 20
 _B = U(0xD6E8FEB86659FD93)
 _INVERSE = U(pow(int(_B), -1, 1 << 64))
@@ -217,8 +223,8 @@ def _ask(docs: pa.Table, length: int, n_buckets: int) -> pa.Table:
     return pa.table({"bucket": pa.array(present, pa.int32()), "batch": pa.array([batch] * len(cut), pa.int32()), "base": pa.array([base] * len(cut), pa.int64()), "hash": pa.array([f["e_hash"][a:z].tobytes() for a, z in cut], pa.binary()), "stretch": pa.array([five[a:z].tobytes() for a, z in cut], pa.binary()), "doc": pa.array([gap[a:z].tobytes() for a, z in cut], pa.binary())})
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """A byte for each entry: 1 if the stretch is in an earlier document, 2 if its bytes are to be sent."""
+def _answer(asked: pa.Table, hot: int) -> pa.Table:
+    """A byte for each entry: 1 if the stretch is in an earlier document, 2 if it is to be sent, 4 more if as windows."""
     hashes = [np.frombuffer(x, np.uint32) for x in asked.column("hash").to_pylist()]
     sizes = np.array([len(x) for x in hashes])
     stretch = np.zeros((int(sizes.sum()), 8), np.uint8)
@@ -235,7 +241,9 @@ def _answer(asked: pa.Table) -> pa.Table:
     low, high = np.minimum.reduceat(least, own), np.maximum.reduceat(least, own)
     mixed = (low != high)[np.cumsum(anchor) - 1]
     code = np.zeros(len(order), np.uint8)
-    code[order] = (least < sd) + 2 * (mixed & (least == sd))
+    sends = mixed & (least == sd)
+    many = (np.add.reduceat(sends.astype(np.int64), own) > hot)[np.cumsum(anchor) - 1]
+    code[order] = (least < sd) + 2 * sends + 4 * (sends & many)
     ends = np.cumsum(sizes)
     return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "code": pa.array([code[z - n : z].tobytes() for z, n in zip(ends, sizes, strict=True)], pa.binary())})
 
@@ -255,7 +263,8 @@ def _mark(docs: pa.Table, answers: pa.Table, length: int, n_buckets: int) -> pa.
     got = dict(zip(answers.column("bucket").to_pylist(), answers.column("code").to_pylist(), strict=True))
     code = np.frombuffer(b"".join(got[b] for b in sorted(got)), np.uint8)[f["entry"]] if len(f["entry"]) else np.zeros(0, np.uint8)
     gone = ((code & 1) > 0) | (f["doc"] > f["e_doc"][f["entry"]])
-    send = ~gone & ((code & 2) > 0)
+    send = ~gone & ((code & 2) > 0) & ((code & 4) == 0)
+    hot = ~gone & ((code & 4) > 0)
     batch = docs.column("batch")[0].as_py()
     ids = docs.column("doc_id").to_pylist()
     hashes = _row_hashes(f)
@@ -269,9 +278,41 @@ def _mark(docs: pa.Table, answers: pa.Table, length: int, n_buckets: int) -> pa.
         r, s, n = int(f["row"][i]), int(f["start"][i]), int(f["count"][i])
         key = int(f["hash"][i])
         out.append(((key >> 32) % n_buckets, batch, ids[r], int(hashes[r]), key - (1 << 64) if key >> 63 else key, s - int(f["starts"][r]), n, int(f["anchor"][i]) - s, f["buf"][s : s + n + length - 1].tobytes()))
+    if hot.any():
+        out += _hot_windows(f, f["order"][hot], f["doc"][hot], length, n_buckets, batch, ids, hashes)
     return _rows(out, MARKS)
 
 
+def _hot_windows(f: dict, pick: np.ndarray, doc: np.ndarray, length: int, n_buckets: int, batch: int, ids: list, hashes: np.ndarray) -> list[tuple]:
+    """Each distinct window of the stretches for the smallest id that has it in this batch; other ids' windows go at once.
+
+    A window's row has count 0, its hash as anchor and no bytes.
+    """
+    count, start, row = f["count"][pick], f["start"][pick], f["row"][pick]
+    size = count + length - 1
+    base = np.cumsum(size) - size
+    ph = PrefixHash(f["buf"][np.repeat(start - base, size) + np.arange(int(size.sum()))])
+    owner = np.repeat(np.arange(len(pick)), count)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = base[owner] + step
+    key = tb.mix(ph.of(at, at + length)) ^ tb.mix(f["hash"][pick][owner])
+    order = np.lexsort((doc[owner], key))
+    key, owner, step = key[order], owner[order], step[order]
+    new = np.append(True, key[1:] != key[:-1])
+    least = doc[owner][np.flatnonzero(new)][np.cumsum(new) - 1]
+    late = doc[owner] > least
+    place = start[owner] + step - f["starts"][row[owner]]
+    out = []
+    gone = np.flatnonzero(late)[np.argsort(row[owner[late]], kind="stable")]
+    for r, a, z in _runs(row[owner[gone]]):
+        lo = place[gone[a:z]]
+        out.append((batch % n_buckets, batch, ids[r], int(hashes[r]), None, None, None, None, merge_ranges(lo, lo + length).tobytes()))
+    for i in np.flatnonzero(~late).tolist():
+        r, k = int(row[owner[i]]), int(key[i])
+        out.append((k % n_buckets, batch, ids[r], int(hashes[r]), k - (1 << 64) if k >> 63 else k, int(place[i]), 0, None, None))
+    return out
+
+
 def _rows(rows: list[tuple], ddl: str) -> pa.Table:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
     fields = [x.split() for x in ddl.split(", ")]
@@ -296,10 +337,13 @@ def merge_ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.column_stack((lo[first], hi[np.append(first[1:] - 1, len(lo) - 1)])).astype(np.int64)
 
 
-def _compare(marks: pa.Table, length: int) -> pa.Table:
+def _compare(marks: pa.Table, length: int, few: int) -> pa.Table:
     """Passes known ranges on; finds the windows of each sent stretch that an earlier document also has."""
-    sent = marks.filter(pa.compute.is_valid(marks.column("anchor")))
+    windows = marks.filter(pa.compute.equal(marks.column("count"), 0))
+    sent = marks.filter(pa.compute.greater(marks.column("count"), 0))
     out = [marks.filter(pa.compute.is_null(marks.column("anchor"))).select(["batch", "doc_id", "text_hash", "data"]).combine_chunks()]
+    if len(windows):
+        out.append(_compare_windows(windows, length))
     anchor_all = sent.column("anchor").to_numpy() if len(sent) else np.zeros(0, np.int64)
     sent = sent.take(pa.array(np.argsort(anchor_all, kind="stable")))
     anchor_all = np.sort(anchor_all, kind="stable")
@@ -309,21 +353,34 @@ def _compare(marks: pa.Table, length: int) -> pa.Table:
         # whole anchors, about 30,000 stretches at a time
         if z - a >= 30_000 or z == len(anchor_all):
             if z > a:
-                out.append(_compare_part(sent.slice(a, z - a), length))
+                out.append(_compare_part(sent.slice(a, z - a), length, few))
             a = z
     return pa.concat_tables(out)
 
 
-def _compare_part(sent: pa.Table, length: int) -> pa.Table:
+def _compare_windows(windows: pa.Table, length: int) -> pa.Table:
+    """Ranges of the windows that another batch has for a smaller id."""
+    doc = windows.column("doc_id").fill_null(NONE).to_numpy()
+    _, key = np.unique(windows.column("anchor").to_numpy(), return_inverse=True)
+    least = np.full(int(key.max()) + 1, NONE)
+    np.minimum.at(least, key, doc)
+    hit = windows.filter(pa.array(doc > least[key])).select(["batch", "doc_id", "text_hash", "at"])
+    found: dict[tuple, list[int]] = {}
+    for *name, at in zip(*(c.to_pylist() for c in hit.columns), strict=True):
+        found.setdefault(tuple(name), []).append(at)
+    return _rows([(*name, merge_ranges(np.array(at), np.array(at) + length).tobytes()) for name, at in found.items()], "batch int, doc_id long, text_hash long, data binary")
+
+
+def _compare_part(sent: pa.Table, length: int, few: int) -> pa.Table:
     buf, base, end = tb.columns(sent.column("data"))
     base, buf = base - base[0], buf[base[0] : end[-1]]
     count, gap = sent.column("count").to_numpy().astype(np.int64), sent.column("gap").to_numpy().astype(np.int64)
     anchor, doc = sent.column("anchor").to_numpy(), sent.column("doc_id").fill_null(NONE).to_numpy()
     new = np.append(True, anchor[1:] != anchor[:-1])
     size = np.diff(np.append(np.flatnonzero(new), len(anchor)))
-    few = np.repeat(size <= FEW, size)
-    found = [_two_by_two(buf, base + gap, gap, count + length - 1 - gap, doc, new, size, length)]
-    many = np.flatnonzero(~few)
+    small = np.repeat(size <= few, size)
+    found = [_two_by_two(buf, base + gap, gap, count + length - 1 - gap, doc, new, size, length, few)]
+    many = np.flatnonzero(~small)
     if len(many):
         found.append(_sorted(buf, base[many], count[many], gap[many], anchor[many], doc[many], many, length))
     row, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -344,7 +401,7 @@ def _verify(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Non
             raise ArithmeticError("substrings with equal hashes differ")
 
 
-def _two_by_two(buf: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, new: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _two_by_two(buf: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, new: np.ndarray, size: np.ndarray, length: int, few: int) -> tuple[np.ndarray, ...]:
     """Stretch, start and end (from the stretch's first byte) of what it shares with a stretch of an earlier document.
 
     ``left`` and ``right`` are the bytes of each stretch before and from its
@@ -353,8 +410,8 @@ def _two_by_two(buf: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np
     h = PrefixHash(buf)
     group = np.cumsum(new) - 1
     out = []
-    for step in range(1, FEW):
-        i = np.flatnonzero((group[:-step] == group[step:]) & (size[group[:-step]] <= FEW)) if len(group) > step else np.zeros(0, np.int64)
+    for step in range(1, few):
+        i = np.flatnonzero((group[:-step] == group[step:]) & (size[group[:-step]] <= few)) if len(group) > step else np.zeros(0, np.int64)
         j = i + step
         swap = doc[i] > doc[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -440,7 +497,7 @@ def _apply(docs: pa.Table, ranges: pa.Table) -> pa.Table:
     return out
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 50, few: int = FEW, hot: int = HOT) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts in a document with a smaller doc_id.
 
     Texts are UTF-8 bytes; matches don't cross documents, strings are judged on
@@ -450,7 +507,8 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     all bytes left). A null text stays null and counts as empty; texts shorter
     than ``length`` stay whole. A null doc_id sorts after all others; rows with
     one doc_id never remove each other's bytes. Columns with the result's names
-    are replaced. ``length`` is from 17 to 200.
+    are replaced. ``length`` is from 17 to 200. ``few`` and ``hot`` choose how stretches with
+    one anchor are compared; the result doesn't depend on them.
     """
     if not GRAM < length <= 200:
         raise ValueError("length must be from 17 to 200")
@@ -462,9 +520,9 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     dealt = docs.withColumn("batch", batch_of(F.coalesce("doc_id", F.lit(-1)), n_batches))
     by_batch = dealt.groupBy("batch")
     asked = by_batch.applyInArrow(lambda t: _ask(t, length, n_buckets), "bucket int, batch int, base long, hash binary, stretch binary, doc binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, code binary")
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, hot), "batch int, bucket int, code binary")
     marks = by_batch.cogroup(answers.groupBy("batch")).applyInArrow(lambda d, a: _mark(d, a, length, n_buckets), MARKS)
-    ranges = marks.groupBy("route").applyInArrow(lambda t: _compare(t, length), "batch int, doc_id long, text_hash long, data binary")
+    ranges = marks.groupBy("route").applyInArrow(lambda t: _compare(t, length, few), "batch int, doc_id long, text_hash long, data binary")
     rest = [f for f in dealt.schema if f.name not in ("batch", "text")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
     return by_batch.cogroup(ranges.groupBy("batch")).applyInArrow(_apply, schema)

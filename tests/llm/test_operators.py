@@ -94,10 +94,9 @@ def suffix_truth(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("few", [6, 1])
-def test_suffix_dedup(docs, few, monkeypatch):
-    monkeypatch.setattr(suffix, "FEW", few)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(docs).collect()}
+@pytest.mark.parametrize("few,hot", [(6, 2000), (1, 2000), (6, 1), (2, 3)])
+def test_suffix_dedup(docs, few, hot):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(docs, few=few, hot=hot).collect()}
     assert got == suffix_truth([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
