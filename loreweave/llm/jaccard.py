@@ -24,7 +24,7 @@ from . import textblock as tb
 from .common import batch_count, batch_of, components, stage, text_bytes
 
 #: Classes of a family that one task indexes at once.
-BLOCK_SETS = 1500
+BLOCK_SETS = 500
 LOW = tb.U(0xFFFFFFFF)
 
 
