@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group stays: the one with the smallest id. Rows with a null id stay."""
-    first = jaccard_components(docs, k=3, percent=90).where("component_id <> doc_id").select("doc_id").distinct()
+    """One document of each group linked by five-word shingles with a Jaccard of 0.8 or more stays: the one with the smallest id. Rows with a null id stay."""
+    first = jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -36,8 +36,8 @@ def words(x):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x))
 
 
-def jaccard_truth(rows, percent=90):
-    sets = {i: frozenset(zip(w, w[1:], w[2:], strict=False)) or (frozenset([tuple(w)]) if w else frozenset()) for i, w in ((i, words(x or "")) for i, x in rows)}
+def jaccard_truth(rows, n=3, percent=90):
+    sets = {i: frozenset(zip(*(w[j:] for j in range(n)), strict=False)) or (frozenset([tuple(w)]) if w else frozenset()) for i, w in ((i, words(x or "")) for i, x in rows)}
     parent, links = {i: i for i in sets}, collections.Counter()
 
     def find(i):
@@ -50,8 +50,8 @@ def jaccard_truth(rows, percent=90):
         for t in s:
             inverted[t].append(i)
     for i, s in sets.items():
-        for k, n in collections.Counter(k for t in s for k in inverted[t] if k > i).items():
-            if 100 * n >= percent * (len(s) + len(sets[k]) - n):
+        for k, both in collections.Counter(k for t in s for k in inverted[t] if k > i).items():
+            if 100 * both >= percent * (len(s) + len(sets[k]) - both):
                 links[i] += 1
                 links[k] += 1
                 a, b = sorted((find(i), find(k)))
@@ -59,10 +59,10 @@ def jaccard_truth(rows, percent=90):
     return {i: (len(s), find(i), links[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [1500, 3])
-def test_jaccard(docs, block):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs, block_sets=block).collect()}
-    assert got == jaccard_truth([tuple(r) for r in docs.select("doc_id", "text").collect()])
+@pytest.mark.parametrize(("block", "n", "percent"), [(1500, 3, 90), (3, 3, 90), (3, 5, 80)])
+def test_jaccard(docs, block, n, percent):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.jaccard_components(docs, n, percent, block_sets=block).collect()}
+    assert got == jaccard_truth([tuple(r) for r in docs.select("doc_id", "text").collect()], n, percent)
 
 
 def test_jaccard_near_copies(spark):
