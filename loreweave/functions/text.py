@@ -249,3 +249,32 @@ def node_class(degree: Column) -> Column:
 def ttl_seconds(status: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in TTL_DAYS.items() for x in (k, v * 86400)])
     return F.coalesce(F.try_element_at(table, status), F.lit(30 * 86400))
+
+
+def math_key(context: Column, question: Column) -> Column:
+    """Key of a stored calculation: the context's first 2,000 characters and the question without case."""
+    return F.md5(F.concat_ws("::", F.substring(context, 1, 2000), F.lower(question)))
+
+
+def constraint_key(question: Column, context: Column) -> Column:
+    """Key of stored constraints: the question without case and the context's first 1,000 characters."""
+    return F.md5(F.concat_ws("::", F.lower(question), F.substring(context, 1, 1000)))
+
+
+def simulated_progress(elapsed_ms: Column) -> Column:
+    """Percent shown while a document is processed: 90 after five minutes and no more, 10 at least in the first five seconds."""
+    percent = elapsed_ms * 90 / 300_000
+    return F.least(F.lit(90), F.floor(F.when(elapsed_ms < 5000, F.greatest(percent, F.lit(10.0))).otherwise(percent) + 0.5).cast("int"))
+
+
+def size_kb(size: Column) -> Column:
+    return F.round(size / 1024, 1)
+
+
+def edge_class(label: Column) -> Column:
+    return F.when(label.isin("CONTRADICTS", "SUPERSEDES", "NEGATES"), "adversarial").when(label == "REVISES", "revision").otherwise("plain")
+
+
+def variable_lines(variables: Column) -> Column:
+    """A map as lines of ``name = value``, in the map's order."""
+    return F.array_join(F.transform(F.map_entries(variables), lambda e: F.concat(e["key"], F.lit(" = "), e["value"].cast("string"))), "\n")

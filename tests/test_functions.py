@@ -1,5 +1,7 @@
 """Scalar functions and small operators against values worked out by hand."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,17 @@ def test_files(spark, tmp_path):
     assert S.delete_keys(back, points.where("source = 's'"), "source").count() == 1
     S.write_csv(points, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 3
+
+
+def test_display_and_keys(spark):
+    row = spark.range(1).select(
+        *[T.simulated_progress(F.lit(ms)).alias(f"p{ms}") for ms in (0, 4999, 5000, 150_000, 900_000)], T.size_kb(F.lit(1588)).alias("kb"),
+        *[T.edge_class(F.lit(x)).alias(x) for x in ("NEGATES", "REVISES", "OWNS")], T.edge_class(F.lit(None).cast("string")).alias("none"),
+        T.variable_lines(F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))).alias("lines"),
+        T.math_key(F.lit("c" * 3000), F.lit("Q")).alias("math"), T.constraint_key(F.lit("Q"), F.lit("c" * 3000)).alias("constraint"),
+    ).first()
+    assert row[:5] == (10, 10, 2, 45, 90)
+    assert (row.kb, row.NEGATES, row.REVISES, row.OWNS, row.none) == (1.6, "adversarial", "revision", "plain", "plain")
+    assert row.lines == "a = 2\nb = 3"
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert (row.math, row.constraint) == (md5("c" * 2000 + "::q"), md5("q::" + "c" * 1000))
