@@ -201,7 +201,7 @@ def _entries(docs: pa.Table, length: int, n_buckets: int) -> dict:
     doc = docs.column("doc_id").fill_null(NONE).to_numpy()[f["row"]]
     bucket = ((f["hash"] >> U(32)) % U(n_buckets)).astype(np.int32)
     order = np.lexsort((doc, f["stretch"], f["hash"] & U(0xFFFFFFFF), bucket))
-    b, h, s = bucket[order], (f["hash"][order] & U(0xFFFFFFFF)).astype(np.uint32), f["stretch"][order] >> U(24)
+    b, h, s = bucket[order], (f["hash"][order] & U(0xFFFFFFFF)).astype(np.uint32), f["stretch"][order]
     new = np.ones(len(order), bool)
     new[1:] = (b[1:] != b[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])
     at = np.flatnonzero(new)
@@ -217,19 +217,17 @@ def _ask(docs: pa.Table, length: int, n_buckets: int) -> pa.Table:
     kind = np.uint32 if len(gap) and 0 <= gap.min() and gap.max() < 1 << 32 else np.int64
     if kind is np.int64:
         base, gap = 0, f["e_doc"]
-    gap, five = gap.astype(kind), np.ascontiguousarray(f["e_stretch"].view(np.uint8).reshape(-1, 8)[:, :5])
+    gap = gap.astype(kind)
     cut = list(zip(first.tolist(), last, strict=True))
     batch = docs.column("batch")[0].as_py()
-    return pa.table({"bucket": pa.array(present, pa.int32()), "batch": pa.array([batch] * len(cut), pa.int32()), "base": pa.array([base] * len(cut), pa.int64()), "hash": pa.array([f["e_hash"][a:z].tobytes() for a, z in cut], pa.binary()), "stretch": pa.array([five[a:z].tobytes() for a, z in cut], pa.binary()), "doc": pa.array([gap[a:z].tobytes() for a, z in cut], pa.binary())})
+    return pa.table({"bucket": pa.array(present, pa.int32()), "batch": pa.array([batch] * len(cut), pa.int32()), "base": pa.array([base] * len(cut), pa.int64()), "hash": pa.array([f["e_hash"][a:z].tobytes() for a, z in cut], pa.binary()), "stretch": pa.array([f["e_stretch"][a:z].tobytes() for a, z in cut], pa.binary()), "doc": pa.array([gap[a:z].tobytes() for a, z in cut], pa.binary())})
 
 
 def _answer(asked: pa.Table, hot: int) -> pa.Table:
     """A byte for each entry: 1 if the stretch is in an earlier document, 2 if it is to be sent, 4 more if as windows."""
     hashes = [np.frombuffer(x, np.uint32) for x in asked.column("hash").to_pylist()]
     sizes = np.array([len(x) for x in hashes])
-    stretch = np.zeros((int(sizes.sum()), 8), np.uint8)
-    stretch[:, :5] = np.frombuffer(b"".join(asked.column("stretch").to_pylist()), np.uint8).reshape(-1, 5)
-    stretch = stretch.view(np.uint64)[:, 0]
+    stretch = np.frombuffer(b"".join(asked.column("stretch").to_pylist()), np.uint64)
     docs = np.concatenate([np.frombuffer(x, np.uint32 if len(x) == 4 * n else np.int64).astype(np.int64) + base for x, n, base in zip(asked.column("doc").to_pylist(), sizes, asked.column("base").to_pylist(), strict=True)])
     h = np.concatenate(hashes)
     order = np.lexsort((docs, stretch, h))
