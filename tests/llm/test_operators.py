@@ -156,6 +156,15 @@ def test_fingerprints(docs):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.05
 
 
+def test_fingerprints_rare_terms(spark):
+    """Terms of one document only go, whatever the size of the vocabulary; what two documents have stays."""
+    shared = [" ".join(f"s{i // 4}_{k}" for k in range(30)) for i in range(40)]
+    rows = [(i, shared[i] + " " + " ".join(f"u{i}_{k}" for k in range(8000)), shared[i]) for i in range(40)]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), most_idf=3.1).collect()}
+    plain = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, text string"), most_idf=3.1).collect()}
+    assert got == plain and len(set(got.values())) == 10
+
+
 def test_pieces():
     a = pieces.automaton(pieces.load_pieces(pieces.MODEL))
     texts = ["", None, " ", "  a  b ", "▁x ▁", "日本語 テキスト\n\n\tab", "<0x0A> <s>", "😀é", "\x00b", " x", "Hello world, hello again."]
