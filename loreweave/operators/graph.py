@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import stage
+
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """One row for each (type, name): created by the first document, owned by the last."""
@@ -76,15 +78,22 @@ def neighbours(edges: DataFrame, name: str) -> DataFrame:
 
 
 def transitive_cycles(edges: DataFrame) -> DataFrame:
-    """Groups (column grp) whose definitions, edges src -> dst, contain a cycle: a recursive closure."""
-    edges.select("grp", "src", "dst").distinct().createOrReplaceTempView("__definition_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE reach(grp, src, dst) MAX RECURSION LEVEL 64 AS (
-          SELECT grp, src, dst, 1 AS hops FROM __definition_edges
-          UNION ALL
-          SELECT r.grp, r.src, e.dst, r.hops + 1 FROM reach r JOIN __definition_edges e ON r.grp = e.grp AND r.dst = e.src WHERE r.hops < 12 AND r.src <> r.dst
-        ) SELECT DISTINCT grp FROM reach WHERE src = dst
-    """.replace("reach(grp, src, dst)", "reach(grp, src, dst, hops)"))
+    """Groups (column grp) whose definitions, edges src -> dst, contain a cycle of any length.
+
+    Each round drops the edges whose source no edge leads to and those whose
+    target leads nowhere; what remains when a round changes nothing holds a
+    cycle. Rounds are staged; a chain of n edges needs n / 2 of them.
+    """
+    left = stage(edges.select("grp", "src", "dst").distinct())
+    n = left.count()
+    while n:
+        ins, outs = left.select("grp", F.col("dst").alias("src")).distinct(), left.select("grp", F.col("src").alias("dst")).distinct()
+        left = stage(left.join(ins, ["grp", "src"], "left_semi").join(outs, ["grp", "dst"], "left_semi").select("grp", "src", "dst"))
+        now = left.count()
+        if now == n:
+            break
+        n = now
+    return left.select("grp").distinct()
 
 
 def top_degree(edges: DataFrame, n: int) -> DataFrame:

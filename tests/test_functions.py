@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.functions import names as N
 from loreweave.functions import text as T
 from loreweave.operators import entity as E
+from loreweave.operators import graph as G
 from loreweave.operators import retrieval as R
 from loreweave.sources import tables as S
 
@@ -95,3 +96,11 @@ def test_display_and_keys(spark):
     assert row.lines == "a = 2\nb = 3"
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert (row.math, row.constraint) == (md5("c" * 2000 + "::q"), md5("q::" + "c" * 1000))
+
+
+def test_long_cycles(spark):
+    edges = [("ring", f"v{i}", f"v{(i + 1) % 20}") for i in range(20)] + [("tail", "x", "y"), ("tail", "y", "x"), ("tail", "y", "z"), ("tail", "w", "x")]
+    edges += [("chain", f"v{i}", f"v{i + 1}") for i in range(20)] + [("diamond", a, b) for a, b in ("ab", "ac", "bd", "cd")] + [("self", "a", "a")]
+    got = {r.grp for r in G.transitive_cycles(spark.createDataFrame(edges, "grp string, src string, dst string")).collect()}
+    assert got == {"ring", "tail", "self"}
+    assert G.transitive_cycles(spark.createDataFrame([], "grp string, src string, dst string")).count() == 0
