@@ -48,7 +48,7 @@ def _spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBa
         i = 0
         for part in tb.slices(batch.column("text")):
             row, _, word, h = sentences(part)
-            ids = batch.column("key").slice(i, len(part)).to_numpy()
+            ids, texts = (batch.column(c).slice(i, len(part)).to_numpy() for c in ("key", "text_hash"))
             i += len(part)
             if not len(row):
                 continue
@@ -60,27 +60,29 @@ def _spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBa
             last = np.minimum(first + span, begin[row[first]] + n[row[first]]) - 1
             a, z = word[first, 0], word[last, 1]
             value = tb.mix(PrefixHash(h).of(a, z) + (z - a).astype(np.uint64) * tb._K[0])
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[row[first]]), pa.array(place[first].astype(np.int32))], ["span", "key", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[row[first]]), pa.array(texts[row[first]]), pa.array(place[first].astype(np.int32))], ["span", "key", "text_hash", "place"])
 
 
 def dedup_sentences(docs: DataFrame, span: int = 3) -> DataFrame:
     """Remove sentences covered by a span of ``span`` consecutive sentences that isn't its first occurrence.
 
-    The first occurrence is the one with the smallest (doc_id, place), over all
-    rows. Sentences are compared by their words, A-Z lower-cased. A text of
+    The first occurrence is the one with the smallest (doc_id, hash of the
+    text, place), over all rows. Sentences are compared by their words, A-Z lower-cased. A text of
     fewer than ``span`` sentences is one span. Returns each row of ``docs``
     with ``text`` (what is left), ``n_sentences``, ``n_removed`` and
     ``removed`` (places from 0, rising). Null texts stay null, empty ones
-    empty; rows with one doc_id count as one document and don't remove each
-    other at equal places; a null id sorts last. Columns of these names are
-    replaced. Spans are compared as 64-bit hashes.
+    empty; rows with one doc_id and one text count as one document and don't
+    remove each other at equal places, rows with one doc_id and different texts
+    are different documents; null ids sort last, by the hash of the text.
+    Columns of these names are replaced. Spans and texts are compared as 64-bit
+    hashes.
     """
-    docs = docs.drop("n_sentences", "n_removed", "removed", "key")
-    keyed = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    spans = stage(keyed.select("key", "text").mapInArrow(lambda it: _spans(it, span), "span long, key long, place int"))
+    docs = docs.drop("n_sentences", "n_removed", "removed", "key", "text_hash")
+    keyed = docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash": F.xxhash64(F.col("doc_id").isNull(), "text")})
+    spans = stage(keyed.select("key", "text_hash", "text").mapInArrow(lambda it: _spans(it, span), "span long, key long, text_hash long, place int"))
     # a span with very many occurrences is reduced to its first in each task before the shuffle
-    first = spans.groupBy("span").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", F.col("first.key").alias("first_key"), F.col("first.place").alias("first_place"))
-    again = spans.join(stage(first), "span").where("key <> first_key OR place <> first_place").groupBy("key").agg(F.collect_set("place").alias("starts"))
+    first = spans.groupBy("span").agg(F.min(F.struct("key", "text_hash", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("span", F.col("first.key").alias("first_key"), F.col("first.text_hash").alias("first_hash"), F.col("first.place").alias("first_place"))
+    again = spans.join(stage(first), "span").where("key <> first_key OR text_hash <> first_hash OR place <> first_place").groupBy("key", "text_hash").agg(F.collect_set("place").alias("starts"))
 
     @F.arrow_udf("struct<kept: string, n: int, removed: array<int>>")
     def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
@@ -105,6 +107,6 @@ def dedup_sentences(docs: DataFrame, span: int = 3) -> DataFrame:
             i += len(part)
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, pa.list_(pa.int32()))], ["kept", "n", "removed"])
 
-    done = keyed.join(again, "key", "left").withColumn("cut", cut(F.col("text"), F.col("starts")))
+    done = keyed.join(again, ["key", "text_hash"], "left").withColumn("cut", cut(F.col("text"), F.col("starts")))
     rest = [c for c in docs.columns if c != "text"]
     return done.select(*rest, F.col("cut.kept").alias("text"), F.col("cut.n").alias("n_sentences"), F.size("cut.removed").alias("n_removed"), F.col("cut.removed").alias("removed"))

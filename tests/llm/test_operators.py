@@ -142,6 +142,15 @@ def test_sentences(docs):
         assert got[i] == (len(s), sorted(gone))
 
 
+def test_sentences_shared_ids(spark):
+    """Rows without an id, or with one id and other texts, lose only what an earlier document has."""
+    make = lambda x: " ".join(f"The {x}{k} one is here." for k in range(4))
+    rows = [(5, make("a"), "first"), (None, make("a"), "copy"), (None, make("b"), "own"), (None, make("c") + " x.", "left"), (None, make("c") + " y.", "right"), (7, make("d"), "seven"), (7, make("a"), "repeat"), (7, make("a"), "repeat2")]
+    got = {r.name: (r.n_sentences, list(r.removed)) for r in sentences.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert got["first"] == got["own"] == got["seven"] == (4, []) and got["copy"] == got["repeat"] == got["repeat2"] == (4, [0, 1, 2, 3])
+    assert sorted((got["left"], got["right"])) == [(5, []), (5, [0, 1, 2, 3])]
+
+
 def test_fingerprints(docs):
     rows = dict(docs.select("doc_id", "text").collect())
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
