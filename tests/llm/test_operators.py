@@ -244,6 +244,15 @@ def test_html(spark):
     assert all(r.text == shared for r in html.extract(spark.createDataFrame(copies, "page_id long, url string, html string")).collect())
 
 
+def test_html_large_host(spark):
+    """A run on three pages of a host goes, however many pages the host has; one on two pages stays."""
+    said = lambda k: " ".join(f"r{k}_{j}" for j in range(10))
+    rows = [(i, f"http://h.example/{i}", f"<div>{said(i // 3) if i < 60 else said(i // 2) if i < 100 else 'short'}</div><div>{' '.join(f'w{i}_{k}' for k in range(12))}</div>") for i in range(1300)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: " ".join(f"w{i}_{k}" for k in range(12))
+    assert all(got[i] == own(i) for i in range(60)) and all(got[i] == f"{said(i // 2)}\n\n{own(i)}" for i in range(60, 100)) and all(got[i] == f"short\n\n{own(i)}" for i in range(100, 1300))
+
+
 def test_packing(spark, docs):
     rng = np.random.default_rng(2)
     length = np.unique(rng.integers(1, 60, 14))
