@@ -253,6 +253,15 @@ def test_html_large_host(spark):
     assert all(got[i] == own(i) for i in range(60)) and all(got[i] == f"{said(i // 2)}\n\n{own(i)}" for i in range(60, 100)) and all(got[i] == f"short\n\n{own(i)}" for i in range(100, 1300))
 
 
+def test_html_article_named_elsewhere(spark):
+    """Pages that name an article only in a comment, a script or as a reader's comment don't mark theirs."""
+    shared = "Welcome to our site please read all of our rules before you go on"
+    odd = ["<!-- <article> -->", "<script>var a = '<main>'</script>", "<article class='comment-body'>no</article>", ""]
+    rows = [(i, "http://h.example/", f"{odd[i]}<div>{shared}</div><div>{' '.join(f'w{i}_{k}' for k in range(12))}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"w{i}_{k}" for k in range(12)) for i in range(4)}
+
+
 def test_packing(spark, docs):
     rng = np.random.default_rng(2)
     length = np.unique(rng.integers(1, 60, 14))
