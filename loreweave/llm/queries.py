@@ -19,7 +19,7 @@ from .toxicity import held_out, score_toxicity
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return dedup_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,18 +128,63 @@ def test_anchor_blocks():
     assert one["count"].sum() == cut["count"].sum() == len(text) - 49
 
 
+def split_sentences(text, longest=20):
+    """(first byte, words) of each sentence, word by word."""
+    out = []
+    for m in re.finditer(r"[^\x20\x09-\x0D。！？।۔؟]+", text):
+        before = text[: m.start()]
+        gap = before[len(before.rstrip(" \t\n\v\f\r。！？।۔؟")) :]
+        stripped = re.sub("(\"|'|\\)|]|}|»|”|’)+$", "", before[: len(before) - len(gap)])
+        hard = not out or re.search("[\n。！？।۔؟]", gap) or stripped.endswith((".", "!", "?", "…"))
+        out.append((m.start(), m[0], bool(hard), stripped.endswith((",", ";", ":", "|"))))
+    h = tb.words(*tb.columns(pa.array([" ".join(w for _, w, _, _ in out)])))[0].tolist()
+    new = [x[2] for x in out]
+    for soft in ([x[3] for x in out], [x // sentences.CUT % sentences.CUT == 0 for x in h]):
+        heads = [i for i, x in enumerate(new) if x] + [len(new)]
+        for a, z in zip(heads, heads[1:]):
+            if z - a > longest:
+                for i in range(a, z):
+                    new[i] = new[i] or soft[i]
+    heads = [i for i, x in enumerate(new) if x] + [len(new)]
+    return [[w.translate({c: c + 32 for c in range(65, 91)}) for _, w, _, _ in out[a:z]] for a, z in zip(heads, heads[1:])]
+
+
+def sentences_truth(rows, least=2, words=20):
+    split = {i: split_sentences(x or "") for i, x in rows}
+    seen, found = {}, collections.defaultdict(list)
+    for i, s in sorted(split.items()):
+        n = len(s)
+        enough = lambda a, z: z - a >= least and sum(map(len, s[a:z])) >= words  # noqa: B023, E731
+        own = [(a, next((z for z in range(a + least, n + 1) if enough(a, z)), None)) for a in range(n)]
+        own = [(a, z) for a, z in own if z]
+        tail = next((a for a in range(n - 1, -1, -1) if enough(a, n)), 0)
+        if n and (tail, n) not in own:
+            own.append((tail, n))
+        for a, z in own:
+            key = tuple(w for x in s[a:z] for w in x)
+            if seen.setdefault(key, (i, a, z)) != (i, a, z):
+                found[i] += range(a, z)
+    return {i: (len(s), sorted(set(found[i]))) for i, s in split.items()}
+
+
 def test_sentences(docs):
-    rows = dict(docs.select("doc_id", "text").collect())
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_sentences, list(r.removed)) for r in sentences.dedup_sentences(docs).collect()}
-    seen = {}
-    for i in sorted(rows):
-        s = [tuple(w) for m in re.finditer(r"[^\n]*?(?:[.!?](?=[\x20\x09-\x0D])|\n|\Z)", rows[i]) if (w := words(m[0]))]
-        gone = set()
-        for p in range(max(1, len(s) - 2) if s else 0):
-            key = tuple(w for x in s[p : p + 3] for w in x)
-            if seen.setdefault(key, (i, p)) != (i, p):
-                gone |= set(range(p, min(p + 3, len(s))))
-        assert got[i] == (len(s), sorted(gone))
+    assert got == sentences_truth(rows)
+
+
+def test_sentences_ends(spark):
+    """Closing quotes, wide stops, long stretches without a mark, tables, and one word again and again."""
+    long = " ".join(f"w{k}" for k in range(90))
+    cells = " | ".join(f"c{k} d{k}" for k in range(40))
+    rows = [
+        (1, 'He said "no way at all." Then (they left!) And 日本語。日本 語。短い！ end'), (2, long), (3, "other words here " + long + " and more of it"), (4, cells), (5, "title | " + cells + " | foot"),
+        (6, "the " * 100), (7, "x " + "the " * 90), (8, " ".join(f"a{k}" for k in range(15)) + ". " + " ".join(f"b{k}" for k in range(15)) + ". Short tail."), (9, " ".join(f"a{k}" for k in range(15)) + ". " + " ".join(f"b{k}" for k in range(15)) + ". Short tail."), (10, "!!! ... ???"), (11, "\n\n"),
+    ]
+    got = {r.doc_id: r for r in sentences.dedup_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (r.n_sentences, list(r.removed)) for i, r in got.items()} == sentences_truth(rows)
+    assert got[1].n_sentences == 6 and got[9].text == "" and got[8].n_removed == 0
+    assert len(got[3].text.split()) < 40 and len(got[5].text.split()) < 40
 
 
 def test_sentences_shared_ids(spark):
