@@ -39,13 +39,10 @@ def job_state_ttl(spark, sf):
 @query(f"WITH {STATE} SELECT user_id, status, ts, ttl_seconds::BIGINT AS ttl_seconds FROM last")
 def job_state_stream(spark, sf):
     """The stream's states after all events; must equal the batch twin. Its files lie in the shared folder."""
-    import tempfile
-    import uuid
-
+    from ..staging import fresh_path
     from ..streaming.jobs import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    base = f"{base.rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "jobs")
     return run_available(spark, f"{sf}/events.parquet", f"{base}/out", f"{base}/checkpoint")
 
 
