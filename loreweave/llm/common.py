@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, stage
+
+__all__ = ["batch_count", "batch_of", "components", "dealt_by", "partitions", "shared_dir", "stage", "table", "text_bytes"]
+
 #: Bytes of text that one Python call handles at a time.
 BATCH_BYTES = 6 << 20
 
@@ -16,23 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="loreweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of the whole column, one aggregate row."""
     return docs.agg(F.sum(F.octet_length(F.col(col)))).first()[0] or 0
@@ -51,6 +35,11 @@ def batch_of(col: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
 
 
+def dealt_by(text: str = "text") -> Column:
+    """What a row is dealt into batches by: its id, or where it has none its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text))
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest reachable vertex for each vertex of ``edges(u, v)`` (longs): (vertex, component).
 
