@@ -14,6 +14,8 @@ from .common import stage
 from .suffix import PrefixHash
 
 LAST = (1 << 63) - 1
+#: Bytes of text that are divided into sentences at a time.
+SLICE = 2 << 20
 #: Added to the place of a text's last span, which may start where another one starts.
 TAIL = 1 << 30
 #: One word in so many, by its hash, starts a new sentence inside a long stretch without a mark.
@@ -130,7 +132,7 @@ def spans(row: np.ndarray, word: np.ndarray, n_rows: int, least: int, words: int
 def _hashed_spans(batches: Iterator[pa.RecordBatch], least: int, words: int, longest: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i = 0
-        for part in tb.slices(batch.column("text")):
+        for part in tb.slices(batch.column("text"), SLICE):
             row, _, word, h = sentences(part, longest)
             ids, texts = (batch.column(c).slice(i, len(part)).to_numpy() for c in ("key", "text_hash"))
             i += len(part)
@@ -169,7 +171,7 @@ def dedup_sentences(docs: DataFrame, least: int = 2, words: int = 20, longest: i
     @F.arrow_udf("struct<kept: string, n: int, removed: array<int>>")
     def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
         kept, counts, gone, i = [], [], [], 0
-        for part in tb.slices(texts):
+        for part in tb.slices(texts, SLICE):
             row, begin, word, _ = sentences(part, longest)
             bounds = np.searchsorted(row, np.arange(len(part) + 1))
             f, last, place = spans(row, word, len(part), least, words)
