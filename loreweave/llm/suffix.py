@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
-from .common import batch_count, batch_of, text_bytes
+from .common import batch_count, batch_of, dealt_by, text_bytes
 
 U = np.uint64
 GRAM = 16
@@ -284,7 +284,7 @@ def _mark(docs: pa.Table, answers: pa.Table, length: int, n_buckets: int) -> pa.
 def _hot_windows(f: dict, pick: np.ndarray, doc: np.ndarray, length: int, n_buckets: int, batch: int, ids: list, hashes: np.ndarray) -> list[tuple]:
     """Each distinct window of the stretches for the smallest id that has it in this batch; other ids' windows go at once.
 
-    A window's row has count 0, its hash as anchor and no bytes.
+    A window's row has count 0, its hash as anchor and its bytes. Windows are compared by their bytes.
     """
     count, start, row = f["count"][pick], f["start"][pick], f["row"][pick]
     size = count + length - 1
@@ -297,6 +297,9 @@ def _hot_windows(f: dict, pick: np.ndarray, doc: np.ndarray, length: int, n_buck
     order = np.lexsort((doc[owner], key))
     key, owner, step = key[order], owner[order], step[order]
     new = np.append(True, key[1:] != key[:-1])
+    first_byte = start[owner] + step
+    same = np.flatnonzero(~new)
+    _verify(f["buf"], first_byte[same - 1], first_byte[same], np.full(len(same), length))
     least = doc[owner][np.flatnonzero(new)][np.cumsum(new) - 1]
     late = doc[owner] > least
     place = start[owner] + step - f["starts"][row[owner]]
@@ -307,7 +310,7 @@ def _hot_windows(f: dict, pick: np.ndarray, doc: np.ndarray, length: int, n_buck
         out.append((batch % n_buckets, batch, ids[r], int(hashes[r]), None, None, None, None, merge_ranges(lo, lo + length).tobytes()))
     for i in np.flatnonzero(~late).tolist():
         r, k = int(row[owner[i]]), int(key[i])
-        out.append((k % n_buckets, batch, ids[r], int(hashes[r]), k - (1 << 64) if k >> 63 else k, int(place[i]), 0, None, None))
+        out.append((k % n_buckets, batch, ids[r], int(hashes[r]), k - (1 << 64) if k >> 63 else k, int(place[i]), 0, None, f["buf"][first_byte[i] : first_byte[i] + length].tobytes()))
     return out
 
 
@@ -358,8 +361,10 @@ def _compare(marks: pa.Table, length: int, few: int) -> pa.Table:
 
 def _compare_windows(windows: pa.Table, length: int) -> pa.Table:
     """Ranges of the windows that another batch has for a smaller id."""
+    windows = windows.combine_chunks()
     doc = windows.column("doc_id").fill_null(NONE).to_numpy()
-    _, key = np.unique(windows.column("anchor").to_numpy(), return_inverse=True)
+    # windows are told apart by their bytes
+    key = windows.column("data").combine_chunks().dictionary_encode().indices.to_numpy()
     least = np.full(int(key.max()) + 1, NONE)
     np.minimum.at(least, key, doc)
     hit = windows.filter(pa.array(doc > least[key])).select(["batch", "doc_id", "text_hash", "at"])
@@ -515,7 +520,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, few: int = FEW, hot: int
     n_bytes = text_bytes(docs)
     n_batches = batch_count(spark, n_bytes)
     n_buckets = batch_count(spark, n_bytes // 18, 1_000_000)
-    dealt = docs.withColumn("batch", batch_of(F.coalesce("doc_id", F.lit(-1)), n_batches))
+    dealt = docs.withColumn("batch", batch_of(dealt_by(), n_batches))
     by_batch = dealt.groupBy("batch")
     asked = by_batch.applyInArrow(lambda t: _ask(t, length, n_buckets), "bucket int, batch int, base long, hash binary, stretch binary, doc binary")
     answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, hot), "batch int, bucket int, code binary")
