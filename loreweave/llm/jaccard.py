@@ -7,21 +7,25 @@
    become one class.
 3. Classes that share one of their rarest shingles (enough of them that any
    link shares one) form families; a family, or a pair of blocks of a large
-   one, is searched in one task: inverted lists, short ones merged, long ones
-   probed by binary search.
+   one, is searched in one task: inverted lists, short ones merged by a heap
+   that skips rows which can't occur often enough, long ones probed by binary
+   search.
 4. Links become components. Only a forest of links and each class's number of
    links leave a task, never all pairs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textblock as tb
-from .common import batch_count, batch_of, components, stage, text_bytes
+from .common import batch_count, batch_of, components, dealt_by, stage, text_bytes
 
 #: Classes of a family that one task indexes at once.
 BLOCK_SETS = 500
@@ -121,13 +125,53 @@ class Lists:
         self.rows = row[order]
         self.tokens, start = np.unique(token[order], return_index=True)
         self.start = np.append(start, len(order))
+        self.lists: dict[int, list[int]] = {}
+
+    def postings(self, j: int) -> list[int]:
+        """Rows of the j-th token, rising."""
+        if j not in self.lists:
+            self.lists[j] = self.rows[self.start[j] : self.start[j + 1]].tolist()
+        return self.lists[j]
+
+    def merge(self, lists: list[list[int]], least: int, above: int = -1) -> list[tuple[int, int]]:
+        """(row, number of lists that hold it) for each row over ``above`` in at least ``least`` lists.
+
+        A heap holds each list's next row. Where the smallest row is in too few
+        lists, as many more are popped as could be missed without a loss, and
+        all of these skip by binary search to the row that is then smallest.
+        """
+        place = [bisect_right(x, above) for x in lists] if above >= 0 else [0] * len(lists)
+        heap = [(x[i], j) for j, (x, i) in enumerate(zip(lists, place, strict=True)) if i < len(x)]
+        heapify(heap)
+        out = []
+        while len(heap) >= least:
+            row, popped = heap[0][0], []
+            while heap and heap[0][0] == row:
+                popped.append(heappop(heap)[1])
+            if len(popped) >= least:
+                out.append((row, len(popped)))
+                for j in popped:
+                    place[j] += 1
+                    if place[j] < len(lists[j]):
+                        heappush(heap, (lists[j][place[j]], j))
+                continue
+            while heap and len(popped) < least - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                break
+            to = heap[0][0]
+            for j in popped:
+                place[j] = bisect_left(lists[j], to, place[j])
+                if place[j] < len(lists[j]):
+                    heappush(heap, (lists[j][place[j]], j))
+        return out
 
     def search(self, query: np.ndarray, percent: int, above: int = -1) -> np.ndarray:
         """Rows over ``above`` whose Jaccard with ``query`` is at least ``percent``.
 
         DivideSkip: the longest lists are set aside; the short ones are merged
-        and rows counted, those that can still reach the overlap are looked up
-        in each long list by binary search and dropped as soon as they can't.
+        by a heap, rows that can still reach the overlap are looked up in each
+        long list by binary search and dropped as soon as they can't.
         """
         at = np.searchsorted(self.tokens, query)
         at = at[at < len(self.tokens)][self.tokens[at[at < len(self.tokens)]] == query[at < len(self.tokens)]]
@@ -139,14 +183,13 @@ class Lists:
         longest = int(length.max())
         n_long = min(need - 1, int(need / (0.01 * np.log2(longest + 1) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        merged = np.sort(np.concatenate([self.rows[self.start[j] : self.start[j + 1]] for j in short]), kind="stable")
-        merged = merged[merged > above]
-        rows, count = np.unique(merged, return_counts=True)
+        found = self.merge([self.postings(j) for j in short.tolist()], need - n_long, above)
+        rows, count = np.array(found, np.int64).reshape(-1, 2).T
         least = overlap_needed(len(query), self.sizes[rows], percent)
         smaller, larger = np.minimum(self.sizes[rows], len(query)), np.maximum(self.sizes[rows], len(query))
         ok = (count + n_long >= least) & (100 * smaller >= percent * larger)
         rows, count, least = rows[ok], count[ok], least[ok]
-        for left, j in zip(range(n_long - 1, -1, -1), long, strict=True):
+        for left, j in zip(range(n_long - 1, -1, -1), long.tolist(), strict=True):
             if not len(rows):
                 break
             lst = self.rows[self.start[j] : self.start[j + 1]]
@@ -166,7 +209,7 @@ def _find(parent: list[int], i: int) -> int:
 
 
 def _search_unit(table: pa.Table, percent: int) -> pa.Table:
-    """Links among the classes of one unit: a forest (kind 0: doc, other) and numbers of links (kind 1: doc, n).
+    """Links among the classes (doc_id: the class) of one unit: a forest (kind 0: class, other) and numbers of links (kind 1: class, n).
 
     In a unit of two blocks only pairs across the blocks are searched.
     """
@@ -206,23 +249,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block_set
     row per row of ``docs``: doc_id, n_shingles, component_id (the smallest
     doc_id reachable by links), n_links (rows that it links to directly). Null
     and empty texts have no shingles, no links and their own id as component; a
-    null doc_id has a null component. Equal sets link with each other; a
-    repeated doc_id stays one vertex. Other columns of ``docs`` are not read.
+    null doc_id has a null component and links with nothing. Equal sets link
+    with each other; a repeated doc_id is one vertex whatever its texts, save
+    that its rows without a shingle stay by themselves. Other columns of ``docs`` are not read.
     Shingles are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
     n_bytes = text_bytes(docs)
     n_batches = batch_count(spark, n_bytes)
     n_buckets = batch_count(spark, n_bytes // 6, 1_000_000)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("batch", batch_of(F.coalesce("doc_id", F.lit(-1)), n_batches))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("batch", batch_of(dealt_by(), n_batches))
     asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, k, n_buckets), "bucket int, batch int, key binary, n binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "batch int, bucket int, df binary")
     kept = stage(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, a: _survivors(d, a, k, percent, n_buckets), "doc_id long, n_shingles long, sig_a long, sig_b long, tokens binary, prefix array<long>"))
 
     sig = ["n_shingles", "sig_a", "sig_b"]
-    classes = stage(kept.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")))
-    with_tokens = kept.where("tokens IS NOT NULL").select("doc_id", *sig, "tokens", "prefix").join(classes, [*sig]).where("doc_id = rep").select("doc_id", "copies", "n_shingles", "tokens", "prefix").dropDuplicates(["doc_id"])
-    sets = stage(with_tokens)
+    # a class is a set of shingles; rows with one id may be of several classes
+    kept = kept.withColumn("class", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64(*sig)))
+    classes = stage(kept.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies")))
+    with_tokens = kept.where("tokens IS NOT NULL AND class IS NOT NULL").select("doc_id", "class", "n_shingles", "tokens", "prefix").join(classes, "class").where("doc_id = rep")
+    sets = stage(with_tokens.dropDuplicates(["class"]).select(F.col("class").alias("doc_id"), "copies", "n_shingles", "tokens", "prefix"))
 
     # families: classes joined by shared prefix shingles; each points to the smallest class that shares one
     listed = sets.select("doc_id", F.explode("prefix").alias("token"))
@@ -239,8 +285,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block_set
     cols = ["unit", "family", "side", "doc_id", "copies", "tokens"]
     found = stage(small.select(*cols).union(pairs.select(*cols)).groupBy("unit").applyInArrow(lambda t: _search_unit(t.drop(["unit"]), percent), "kind int, doc_id long, value long"))
 
-    linked = components(found.where("kind = 0").select(F.col("doc_id").alias("u"), F.col("value").alias("v")))
-    n_links = found.where("kind = 1").groupBy("doc_id").agg(F.sum("value").alias("others"))
-    label = linked.select(F.col("vertex").alias("rep"), "component").join(n_links.withColumnRenamed("doc_id", "rep"), "rep", "full_outer")
-    by_class = classes.join(label, "rep", "left").select(*sig, F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return kept.select("doc_id", *sig).join(by_class, sig, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    # an id with several sets makes them one vertex
+    several = kept.where("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("v"), F.max("class").alias("top")).where("v <> top").select("doc_id", "v")
+    same = kept.where("class IS NOT NULL").join(several, "doc_id").where("class <> v").select(F.col("class").alias("u"), "v")
+    linked = components(found.where("kind = 0").select(F.col("doc_id").alias("u"), F.col("value").alias("v")).union(same))
+    n_links = found.where("kind = 1").groupBy(F.col("doc_id").alias("class")).agg(F.sum("value").alias("others"))
+    own = classes.join(linked.select(F.col("vertex").alias("class"), F.col("component").alias("group")), "class")
+    group = own.select("class", "group").join(own.groupBy("group").agg(F.min("rep").alias("component")), "group").select("class", "component")
+    by_class = classes.join(group, "class", "left").join(n_links, "class", "left").select("class", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return kept.select("doc_id", "n_shingles", "class").join(by_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
