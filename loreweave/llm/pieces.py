@@ -3,13 +3,16 @@
 The automaton reads bytes; at each position the state's output links list all
 pieces that end there, from the longest to the shortest, and each relaxes the
 best score. Distinct space-led segments of a block of texts advance together,
-one byte a step. Piece scores of the model file are used as log probabilities,
-so for a model that was made by merging the pieces can differ from the merges'
-result; what is always exact is that decoding gives the text back.
+one byte a step; a segment is divided where no piece can reach over. A model
+made by merging has ranks in place of log probabilities: these follow from the
+ranks by the Zipf-Mandelbrot law, so that pieces can differ from the merges'
+result. What is always exact is that decoding gives the text back.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +24,24 @@ from . import textblock as tb
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Added to a piece's rank before the logarithm is taken.
+RANK_OFFSET = 100.0
+#: Longer segments are looked at for places that no piece reaches over.
+SEGMENT = 64
 
 
 @lru_cache(maxsize=4)
 def load_pieces(path: str) -> tuple[tuple[bytes, float, int], ...]:
-    """(bytes, score, id) of every ordinary piece, and (one byte, nan, id) of the byte pieces; the file is read on the driver only."""
+    """(bytes, log probability, id) of every ordinary piece, and (one byte, nan, id) of the byte pieces; the file is read on the driver only.
+
+    Scores that are whole numbers from a low rank on down are ranks of merges;
+    the k-th has a probability in proportion to 1 / (k + RANK_OFFSET). Scores
+    of any other model are log probabilities as they are.
+    """
     import sentencepiece
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no tokenizer model at {path}: name one with the parameter model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     out = []
     for i in range(sp.get_piece_size()):
@@ -37,6 +51,9 @@ def load_pieces(path: str) -> tuple[tuple[bytes, float, int], ...]:
             out.append((sp.id_to_piece(i).replace(SPACE, " ").encode(), sp.get_score(i), i))
     if sum(np.isnan(s) for _, s, _ in out) != 256:
         raise ValueError("the model needs 256 byte pieces")
+    plain = np.array([s for _, s, _ in out if not np.isnan(s)])
+    if len(plain) > 1 and (plain == np.round(plain)).all() and len(np.unique(plain)) > len(plain) // 2:
+        out = [(p, s if np.isnan(s) else -float(np.log(plain.max() - s + RANK_OFFSET)), i) for p, s, i in out]
     return tuple(out)
 
 
@@ -64,6 +81,7 @@ class Automaton:
                 node = nxt
             ends[node] = k
         n = len(children)
+        depth = np.zeros(n, np.int64)
         self.go = np.zeros((n, 256), np.int32)
         fail, self.out, self.link = np.zeros(n, np.int64), np.array(ends, np.int64), np.full(len(plain), -1, np.int64)
         queue = [0]
@@ -77,8 +95,11 @@ class Automaton:
                     self.out[u] = self.out[f]
             for b, v in children[u].items():
                 fail[v] = self.go[f, b] if u else 0
+                depth[v] = depth[u] + 1
                 self.go[u, b] = v
                 queue.append(v)
+        #: length of the longest start of a piece that a state stands for
+        self.depth = depth
         self.length = np.array([len(p) for p, _, _ in plain], np.int64)
         self.score = np.array([s for _, s, _ in plain])
         self.ids = np.array([i for _, _, i in plain], np.int32)
@@ -91,6 +112,30 @@ class Automaton:
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
 
+    def divided(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the parts of segments b[s:e], divided before bytes that no piece can hold together with the byte before; and each segment's number of parts.
+
+        A state depends on no more bytes than the longest piece has, so that
+        long segments are walked in pieces that begin that much earlier.
+        """
+        long = np.flatnonzero(end - start > SEGMENT)
+        longest = int(self.length.max())
+        cuts = [start]
+        if len(long):
+            n = -(-(end[long] - start[long]) // SEGMENT)
+            row = np.repeat(long, n)
+            at = start[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
+            state = np.zeros(len(row), np.int64)
+            for t in range(-longest, SEGMENT):
+                here = at + t
+                inside = (here >= start[row]) & (here < end[row])
+                state = np.where(inside, self.go[state, b[np.clip(here, 0, len(b) - 1)]], state)
+                if t >= 0:
+                    # a character of several bytes stays whole
+                    cuts.append(here[inside & (here > start[row]) & (self.depth[state] <= 1) & ((b[np.clip(here, 0, len(b) - 1)] & 0xC0) != 0x80)])
+        at = np.sort(np.concatenate(cuts))
+        return at, np.bincount(np.searchsorted(start, at, "right") - 1, minlength=len(start))
+
     def viterbi(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the best pieces of b[s:e], segment after segment, and how many each has."""
         order = np.argsort(start - end, kind="stable")
@@ -167,6 +212,8 @@ class Automaton:
         new[begin[size > 0]] = True
         s = np.flatnonzero(new)
         e = np.append(s[1:], len(b))
+        s, _ = self.divided(b, s, e)
+        e = np.append(s[1:], len(b))
         h = tb._hash_block(b, s, e)
         _, first, at = np.unique(h, return_index=True, return_inverse=True)
         ids, per = self.viterbi(b, s[first], e[first])
@@ -190,12 +237,12 @@ class Automaton:
         return b[keep], n - (n > 0)
 
 
-_AUTOMATA: dict[int, Automaton] = {}
+_AUTOMATA: dict[bytes, Automaton] = {}
 
 
 def automaton(pieces: tuple[tuple[bytes, float, int], ...]) -> Automaton:
     """The automaton of the pieces, built once in each worker."""
-    key = hash(tuple(x[0] for x in pieces[:: max(1, len(pieces) // 64)])) ^ len(pieces)
+    key = hashlib.sha256(repr(pieces).encode()).digest()
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
         _AUTOMATA[key] = Automaton(pieces)
@@ -236,10 +283,21 @@ def decode_pieces(docs: DataFrame, model: str = MODEL, ids: str = "ids") -> Data
     return docs.withColumn("decoded", decode(F.col(ids)))
 
 
+def token_count(text: str = "text", model: str = MODEL) -> F.Column:
+    """Number of pieces of each whole text; null and empty texts have none."""
+    pieces = load_pieces(model)
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        a = automaton(pieces)
+        parts = [a.encode(part)[1] for part in tb.slices(texts, 2 << 20)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+
+    return count(F.col(text))
+
+
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and whether decoding gives the bytes back."""
-    import hashlib
-
     pieces = load_pieces(model)
 
     @F.arrow_udf("struct<n_bytes: long, n_tokens: long, ids_sha256: string, same: boolean>")
