@@ -11,7 +11,7 @@ from .html import extract
 from .jaccard import jaccard_components
 from .media import digests, store
 from .packing import pack
-from .pieces import round_trip
+from .pieces import round_trip, token_count
 from .quality import resample
 from .sentences import dedup_sentences
 from .suffix import dedup_substrings
@@ -40,7 +40,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), token_count())
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
