@@ -41,12 +41,18 @@ def tensors(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds digests of the stored form and of the payload read back from it, and the features of the RGB tensor."""
+    """Adds digests of the stored form and of the payload read back from it, and the features of the RGB tensor.
+
+    Columns of ``df`` with the names of the result are replaced; a null medium gives nulls.
+    """
 
     @F.arrow_udf("struct<payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string>")
     def digest(files: pa.Array) -> pa.Array:
         rows = []
         for f in files:
+            if not f.is_valid:
+                rows.append((None,) * 6)
+                continue
             raw = f.as_py()
             image = jpeg.decode(raw)
             back = jpeg.payload(image)
@@ -56,4 +62,5 @@ def digests(df: DataFrame, media: str = "media") -> DataFrame:
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return df.withColumn("__d", digest(F.col(media))).select("*", "__d.*").drop("__d")
+    done = df.withColumn("__d", digest(F.col(media)))
+    return done.withColumns({c: F.col(f"__d.{c}") for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}).drop("__d")
