@@ -85,18 +85,23 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: float = 1.0) -> tuple[np.
 class Calibrated:
     """Trees whose margins of held-out folds fix an isotonic map to probabilities."""
 
-    def __init__(self, folds: int = 3, **trees):
-        self.folds, self.args = folds, trees
+    def __init__(self, **trees):
+        self.args = trees
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Calibrated:
+    def fit(self, x: np.ndarray, y: np.ndarray, fold: np.ndarray, held: list[np.ndarray] | None = None) -> Calibrated:
+        """``fold`` numbers each row's fold; ``held[k]`` has the features of all rows as learned without fold k, ``x`` by default."""
         self.model = None
         self.prior = float(y.mean()) if len(y) else 0.0
         if len(y) >= 20 and 0 < y.sum() < len(y):
-            fold, out = np.arange(len(y)) % self.folds, np.zeros(len(y))
-            for k in range(self.folds):
-                out[fold == k] = Trees(**self.args).fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-            self.at, self.value = isotonic(out, y)
+            out = np.full(len(y), np.nan)
+            for k in np.unique(fold):
+                rest = fold != k
+                if rest.any() and 0 < y[rest].sum() < rest.sum():
+                    z = x if held is None else held[k]
+                    out[~rest] = Trees(**self.args).fit(z[rest], y[rest]).margin(z[~rest])
             self.model = Trees(**self.args).fit(x, y)
+            told = ~np.isnan(out)
+            self.at, self.value = isotonic(out[told], y[told]) if told.any() else (np.zeros(1), np.array([self.prior]))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ lexicon is a fixed list and words that stand out in toxic labelled rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 
 NEAR = 6
 FEATURES = 19
+FOLDS = 3
 
 
 def _gap(b: np.ndarray) -> np.ndarray:
@@ -121,51 +123,77 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def _learn_words(rows: DataFrame, z_least: float = 6.0, most: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes that occur in clearly more toxic rows than their share, with their log odds; at most ``most``."""
+def _learn_words(rows: DataFrame, z_least: float = 6.0, most: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes that occur in clearly more toxic rows than their share, with their log odds; at most ``most``.
+
+    One pair learned without each of the FOLDS folds, and a last one from all rows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = batch.column("label").to_numpy(zero_copy_only=False)
+            y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "fold"))
             h, first, end = tb.words(*tb.columns(batch.column("text")), gap=_gap)
             seen = [np.unique(h[a:z]) for a, z in zip(first, end, strict=True)]
             if not len(h):
                 continue
-            word, toxic = np.concatenate(seen), np.repeat(y, [len(s) for s in seen])
-            u, at = np.unique(word, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(at)), pa.array(np.bincount(at, toxic).astype(np.int64))], ["word", "n", "k"])
-
-    total = rows.agg(F.count("*"), F.sum("label")).first()
-    if not total[0] or not total[1]:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    p = total[1] / total[0]
-    z = (F.col("k") - p * F.col("n")) / F.sqrt(F.col("n") * p * (1 - p) + 1e-9)
-    best = rows.select("text", "label").mapInArrow(count, "word long, n long, k long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= 3).withColumn("z", z).where(F.col("z") >= z_least).orderBy(F.desc("z"), "word").limit(most).collect()
-    word = np.array([r["word"] for r in best], np.int64).view(np.uint64)
-    odds = np.array([np.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - np.log(p / max(1 - p, 1e-9)) for r in best])
-    order = np.argsort(word)
-    return word[order], odds[order]
+            each = [len(s) for s in seen]
+            u, at = np.unique(np.concatenate(seen), return_inverse=True)
+            toxic, fold = np.repeat(y, each), np.repeat(fold, each)
+            cols = [np.bincount(at, w * (fold == k), len(u)).astype(np.int64) for k in range(FOLDS) for w in (1, toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, cols)], ["word", *names])
+
+    names = [f"{c}{k}" for k in range(FOLDS) for c in "nk"]
+    total = {r["fold"]: (r["n"], r["k"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()}
+    counts = rows.select("text", "label", "fold").mapInArrow(count, "word long, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    plans = []
+    for out in [*range(FOLDS), None]:
+        used = [k for k in range(FOLDS) if k != out]
+        n, k = (sum(total.get(f, (0, 0))[i] for f in used) for i in (0, 1))
+        if not n or not k:
+            plans.append(None)
+            continue
+        p = k / n
+        kw, nw = (sum((F.col(f"{c}{f}") for f in used[1:]), F.col(f"{c}{used[0]}")) for c in "kn")
+        plans.append((p, kw, nw, (kw - p * nw) / F.sqrt(nw * p * (1 - p) + 1e-9)))
+    # one pass: words that stand out for any of the folds; each list is bounded by ``most``
+    live = [x for x in plans if x]
+    if not live:
+        return [(np.zeros(0, np.uint64), np.zeros(0))] * len(plans)
+    near = counts.where(reduce(lambda a, b: a | b, [(kw >= 3) & (z >= z_least) for _, kw, _, z in live])).persist()
+    learned = []
+    for x in plans:
+        best = [] if x is None else near.select("word", x[1].alias("k"), x[2].alias("n"), x[3].alias("z")).where((F.col("k") >= 3) & (F.col("z") >= z_least)).orderBy(F.desc("z"), "word").limit(most).collect()
+        word = np.array([r["word"] for r in best], np.int64).view(np.uint64)
+        odds = np.array([np.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - np.log(x[0] / max(1 - x[0], 1e-9)) for r in best])
+        order = np.argsort(word)
+        learned.append((word[order], odds[order]))
+    near.unpersist()
+    return learned
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000):
-    """A function from a text array to scores, learned from at most ``sample`` rows whose fold isn't held out."""
+    """A function from a text array to scores, learned from at most ``sample`` rows whose fold isn't held out.
+
+    Folds are dealt by a hash of the text, so that copies share one; words,
+    like trees, are learned without the fold whose margins calibrate the map.
+    """
     chosen = sample_labels(labels.where(~held_out()), "toxic", sample)
     # the sample has a fixed bound of rows, so its ids can be broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
-    learned, weights = _learn_words(rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")).persist()
+    learned = _learn_words(rows)
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, part in _parts(b.column("text")):
-                x = features(part, learned, weights)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(part)).cast(pa.int64()), b.column("label").slice(i, len(part)).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+                x = np.concatenate([features(part, *words) for words in learned], 1)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(part)).cast(pa.int64()), b.column("label").slice(i, len(part)).cast(pa.int32()), b.column("fold").slice(i, len(part)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "fold", "x"])
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(table, "doc_id long, label int, x array<double>").toPandas()
+    got = rows.select("doc_id", "label", "fold", "text").mapInArrow(table, "doc_id long, label int, fold int, x array<double>").toPandas()
     rows.unpersist()
     got = got.sort_values("doc_id", kind="stable")
-    x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
-    model = Calibrated().fit(x, got["label"].to_numpy(float))
-    return lambda arr: model.predict(features(arr, learned, weights))
+    x = np.array(got["x"].tolist(), float).reshape(len(got), FOLDS + 1, FEATURES)
+    model = Calibrated().fit(x[:, -1], got["label"].to_numpy(float), got["fold"].to_numpy(np.int64), [x[:, k] for k in range(FOLDS)])
+    return lambda arr: model.predict(features(arr, *learned[-1]))
 
 
 def _parts(arr: pa.Array) -> Iterator[tuple[int, pa.Array]]:
