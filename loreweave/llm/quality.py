@@ -48,7 +48,12 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def log_weight(docs: DataFrame, labels: DataFrame, sample: int = 20_000, smooth: float = 0.5):
-    """The column function of log importance weights, and the labelled sample (text, label) it was fitted on."""
+    """The column function of log importance weights, and the labelled sample (text, label) it was fitted on.
+
+    Null and empty texts weigh 0; without labelled good rows every text does.
+    Raw counts are of all rows of ``docs``, good ones of at most ``sample``
+    labelled rows; repeated rows count as often as they occur.
+    """
     rows = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, "quality", sample)), "doc_id").select("text", "label")
     good, raw = _counts(rows.where("label = 1")), _counts(docs)
     ratio = np.log((good + smooth) / (good.sum() + smooth * BUCKETS)) - np.log((raw + smooth) / (raw.sum() + smooth * BUCKETS)) if good.any() else np.zeros(BUCKETS)
@@ -117,6 +122,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float | None = None, seed
     """
     weight, labelled = log_weight(docs, labels, sample)
     scored = docs.withColumn("log_weight", weight(F.col("text"))).withColumn("gumbel_key", F.col("log_weight") + F.coalesce(gumbel(seed), F.lit(0.0)))
+    # keys without texts: histograms read them again and again; texts are scored once more at the end, which is cheaper than to write and join them
     keys = stage(scored.select("log_weight", F.col("gumbel_key").alias("key")))
     n = keys.count()
     if keep is None:
