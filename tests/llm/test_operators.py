@@ -78,6 +78,27 @@ def test_jaccard_near_copies(spark):
     assert got == jaccard_truth(rows)
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows of one id with different texts keep the links of each; rows without an id link with nothing."""
+    make = lambda k, n=60: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(5, make("a")), (5, make("b")), (7, make("a") + " end"), (8, make("b") + " end"), (9, make("c")), (None, make("c")), (None, make("a")), (3, make("d")), (3, make("d"))]
+    got = {}
+    for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add((r.component_id, r.n_links))
+    assert {i: {c for c, _ in x} for i, x in got.items()} == {5: {5}, 7: {5}, 8: {5}, 9: {9}, None: {None}, 3: {3}}
+    assert got[7] == got[8] == {(5, 1)} and got[9] == {(9, 0)}
+
+
+def test_heap_merge():
+    rng = np.random.default_rng(5)
+    lists = jaccard.Lists([np.arange(1, dtype=np.uint64)])
+    for _ in range(200):
+        several = [sorted(set(rng.integers(0, 40, rng.integers(0, 25)).tolist())) for _ in range(rng.integers(1, 9))]
+        least, above = int(rng.integers(1, 6)), int(rng.integers(-1, 20))
+        count = collections.Counter(x for l in several for x in l if x > above)
+        assert lists.merge(several, least, above) == sorted((x, n) for x, n in count.items() if n >= least)
+
+
 def suffix_truth(rows, length=50):
     seen, out = {}, {}
     raw = sorted((i, (x or "").encode()) for i, x in rows)
@@ -210,6 +231,59 @@ def test_fingerprints(docs):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.05
 
 
+def test_fingerprints_brute_force(docs):
+    """Fingerprints and likeness from a plain reading of the rule, with the same 64-bit hash."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    unsigned = lambda x: x & (1 << 64) - 1
+    of_long = lambda x, seed=42: xxhash.xxh64_intdigest(unsigned(x).to_bytes(8, "little"), unsigned(seed))
+    of_int = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(4, "little"), unsigned(seed))
+
+    def of_list(xs):
+        h = 42
+        for x in xs:
+            h = of_long(x, h)
+        return h
+
+    rows = {i: t for i, t in docs.select("doc_id", "text").collect()}
+    split = lambda t: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\s!-/:-@\[-`{-~]+", t.lower(), flags=re.A) if w})
+    own = {i: split(t) for i, t in rows.items()}
+    df = collections.Counter(x for s in own.values() for x in s)
+    band = {x for x, n in df.items() if 1.6 <= np.log(len(rows) / n) <= 12.0}
+
+    def signatures(terms):
+        kept = [x for x in terms if x in band] or terms
+        out = [of_list(kept) if kept else 0]
+        for lane in range(fingerprint.LANES):
+            inner = kept
+            for scale in fingerprint.SCALES:
+                inner = [x for x in inner if signed(of_int(lane, of_long(x))) % scale == 0]
+                out.append(of_list(inner) if inner else 0)
+        return out
+
+    def alike(a, b):
+        if a == b:
+            return 1.0
+        hits = []
+        for lane in range(fingerprint.LANES):
+            at = [(a[1 + lane * 4 + k], b[1 + lane * 4 + k]) for k in range(4)]
+            at = [x for x in at if x[0] or x[1]]
+            if at:
+                hits.append(at[-1][0] == at[-1][1])
+        return sum(hits) / len(hits) if hits else 0.0
+
+    text = lambda s: "".join(f"{x:016x}" for x in s)
+    ids = sorted(rows, reverse=True)
+    sig = {i: signatures(own[i]) for i in ids}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
+    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
+        n = len(rows[a])
+        edited = signatures(split(rows[a][: n - n // 2] + rows[b][: n // 2]))
+        assert (got[a].fingerprint, got[a].edited_fingerprint) == (text(sig[a]), text(edited))
+        assert abs(got[a].near_edited - alike(sig[a], edited)) < 1e-9 and abs(got[a].near_next - alike(sig[a], sig[b])) < 1e-9
+
+
 def test_fingerprints_rare_terms(spark):
     """Terms of one document only go, whatever the size of the vocabulary; what two documents have stays."""
     shared = [" ".join(f"s{i // 4}_{k}" for k in range(30)) for i in range(40)]
@@ -235,10 +309,56 @@ def test_pieces():
     assert abs(sum(by_id[i] for i in ids[-n[-1] :].tolist()) - best[-1]) < 1e-6
 
 
+def best_score(text, score, longest):
+    """Brute force over bytes: the best sum of scores, unknown characters spelled in bytes."""
+    b = (" " + text).encode()
+    unknown = min(score.values()) - 10
+    best = [0.0] + [-np.inf] * len(b)
+    edges = [k for k in range(len(b) + 1) if k == len(b) or b[k] & 0xC0 != 0x80]
+    for p, e in zip(edges, edges[1:]):
+        best[e] = max(best[k] + score.get(b[k:e], -np.inf) for k in range(max(0, e - longest), e))
+        if best[e] == -np.inf:
+            best[e] = best[p] + unknown
+    return best[-1]
+
+
+@pytest.mark.parametrize("text", ["Hello world, hello again.", "Größe und schöne Straßen, naïve façade", "日本語テキスト、中文字符。" * 9, "aaaaaaa" * 30 + " the  the", "🙂🙃 ok \ue000x" * 12, "qzxjkvbwq" * 25, "\n\n\t code(x) = {y: [1, 2]};"])
+def test_pieces_best(text):
+    a = pieces.automaton(pieces.load_pieces(pieces.MODEL))
+    plain = {p: s for p, s, _ in pieces.load_pieces(pieces.MODEL) if not np.isnan(s)}
+    by_id = {i: s for _, s, i in pieces.load_pieces(pieces.MODEL)}
+    ids, n = a.encode(pa.array([text]))
+    raw, _ = a.decode(ids, n)
+    assert raw.tobytes().decode() == text
+    got, pending = 0.0, 0
+    for i in ids.tolist():
+        if np.isnan(by_id[i]):
+            # a character that no piece covers costs once, whatever its bytes
+            byte = int(np.flatnonzero(a.byte_id == i)[0])
+            got += a.unknown if byte & 0xC0 != 0x80 else 0.0
+        else:
+            got += by_id[i]
+    assert abs(got - best_score(text, plain, int(a.length.max()))) < 1e-6
+
+
+def test_pieces_ties_and_models():
+    """Equal scores give one fixed result; another model in one worker has an automaton of its own."""
+    letters = tuple((bytes([c]), float("nan"), 300 + c) for c in range(256))
+    one = (*((x.encode(), s, i) for i, (x, s) in enumerate([(" ", -1.5), ("a", -1.5), ("b", -1.5), ("ab", -3.0), (" a", -3.0)])), *letters)
+    other = tuple((p, s - 2.5 if p == b"ab" else s, i) for p, s, i in one)
+    assert pieces.automaton(one).encode(pa.array(["ab", "ab", "ba"]))[0].tolist() == pieces.automaton(one).encode(pa.array(["ab", "ab", "ba"]))[0].tolist()
+    assert 3 in pieces.automaton(tuple((p, s + 1 if p == b"ab" else s, i) for p, s, i in one)).encode(pa.array(["ab"]))[0] and 3 not in pieces.automaton(other).encode(pa.array(["ab"]))[0]
+    with pytest.raises(FileNotFoundError):
+        pieces.load_pieces("/nowhere/x.model")
+
+
 def test_pieces_columns(spark, awkward):
     out = pieces.decode_pieces(pieces.encode_pieces(awkward)).collect()
     assert all(r.decoded == (r.text or "") for r in out)
     assert all(r.round_trip for r in pieces.round_trip(awkward).collect())
+    assert pieces.decode_pieces(pieces.encode_pieces(awkward.limit(0))).count() == pieces.round_trip(awkward.limit(0)).count() == 0
+    counts = {r.doc_id: (r.n, len(r.ids)) for r in pieces.encode_pieces(awkward).withColumn("n", pieces.token_count()).collect()}
+    assert all(n == k for n, k in counts.values()) and counts[2] == (0, 0)
 
 
 def test_jpeg():
@@ -277,6 +397,15 @@ def test_media(docs):
     assert len(r.rgb) == r.height * r.width * 3
 
 
+def test_media_columns(spark):
+    """Clashing names are replaced, a null medium has null digests, and a long text comes back whole."""
+    long = "naïve text " * 200_000
+    df = spark.createDataFrame([(1, long, "x", 3), (2, None, "y", 4), (3, "", "z", 5)], "doc_id long, text string, feature string, media_bytes int")
+    got = {r.doc_id: r for r in media.digests(media.store(df)).collect()}
+    assert len(got[1]) == 9 and got[1].payload_sha256 == hashlib.sha256(jpeg.pad(long.encode())).hexdigest() and got[2].payload_sha256 == got[3].payload_sha256
+    assert media.digests(media.store(df).withColumn("media", F.lit(None).cast("binary"))).first().payload_sha256 is None
+
+
 def test_html(spark):
     page = '<head><title>t</title></head><nav>x<article><h1>T &amp; &lt;b&gt;</h1><p>a<br>b <b>c</b>d<p>e &nbsp; f<div class="comments">no</div><aside>z</aside></article><footer>f'
     assert html.blocks(page) == (True, ["T & <b>", "a b cd", "e f"])
@@ -333,6 +462,17 @@ def test_packing(spark, docs):
         assert len(b) == b[0].batch_rows and sorted(r.slot for r in b) == list(range(len(b))) and (len(b) == 1 or len(b) * b[0].bucket_length <= 2000)
 
 
+def test_packing_rows(spark):
+    """Rows without an id, repeated rows and clashing names are packed as often as they occur, with their columns."""
+    rows = [(None, "a b c", 7, "x")] * 60 + [(1, "a b c", 8, "y")] * 5 + [(2, None, 9, "z"), (3, "", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int, shard string")
+    out = packing.pack(df, budget=12, shard_rows=16, carry=True).collect()
+    assert len(out) == len(rows) and collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter((i, x) for i, x, _, _ in rows)
+    assert len({r.shard for r in out if r.doc_id is None}) > 1 and all(r.n_tokens == len((r.text or "").split()) for r in out)
+    batches = collections.Counter(r.batch_id for r in out)
+    assert all(batches[r.batch_id] == r.batch_rows for r in out) and len({(r.batch_id, r.slot) for r in out}) == len(out)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -341,6 +481,16 @@ def test_toxicity_held_out(spark):
     assert (p.predicted == p.toxic).mean() > 0.93 and p.score.between(0, 1).all()
 
 
+def test_toxicity_classes(spark):
+    """Both classes, the order and the calibration on the held-out rows of the largest table."""
+    sf = "/root/testdata/sf0.1"
+    p = queries.op10_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    good, bad = p[p.toxic == 0], p[p.toxic == 1]
+    assert (good.predicted == 0).mean() > 0.99 and (bad.predicted == 1).mean() > 0.85
+    auc = np.mean([(x > y) + 0.5 * (x == y) for x in bad.score for y in good.score])
+    assert auc > 0.97 and abs(p.score.mean() - p.toxic.mean()) < 0.03
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     r = queries.op4_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -350,6 +500,35 @@ def test_quality(spark):
     assert drawn.where("selected").count() == round(0.25 * docs.count())
 
 
+def test_quality_held_out(spark):
+    """Fitted without a fifth of the labelled rows, the break-even weight tells those rows apart."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    r = quality.resample(docs, labels.where("doc_id % 5 <> 0")).join(labels.where("doc_id % 5 = 0"), "doc_id").toPandas()
+    assert r[r.quality == 1].selected.mean() > 0.95 and r[r.quality == 0].selected.mean() < 0.25
+
+
+def test_quality_brute_force(spark, docs, labels):
+    """Weights are log ratios of smoothed bucket shares, and the rows drawn are those with the largest keys."""
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    size, smooth = quality.BUCKETS, 0.5
+
+    def grams(text):
+        h = tb.words(*tb.columns(pa.array([text])))[0]
+        pair = tb.mix(h[:-1] * tb._K[0] + h[1:] * tb._K[2])
+        return [int(x % tb.U(size)) for x in [*h, *pair]]
+
+    of = {i: grams(x) for i, x in rows.items()}
+    raw, good = (collections.Counter(g for i in of if keep(i) for g in of[i]) for keep in (lambda i: True, lambda i: label.get(i) == 1))
+    log = lambda c, g: np.log((c[g] + smooth) / (sum(c.values()) + smooth * size))
+    ratio = {g: log(good, g) - log(raw, g) for g in raw}
+    got = {r.doc_id: r for r in quality.resample(docs, labels, keep=0.3).collect()}
+    assert all(abs(got[i].log_weight - sum(ratio[g] for g in of[i])) < 1e-6 * max(1, len(of[i])) for i in of)
+    k = round(0.3 * len(rows))
+    assert {i for i, r in got.items() if r.selected} == set(sorted(got, key=lambda i: -got[i].gumbel_key)[:k])
+
+
 def test_kth_largest(spark):
     df = spark.range(1, 20001).select(F.sqrt("id").alias("key"))
     for k in (1, 7, 9999, 20000):
