@@ -427,6 +427,55 @@ def test_html_large_host(spark):
     assert all(got[i] == own(i) for i in range(60)) and all(got[i] == f"{said(i // 2)}\n\n{own(i)}" for i in range(60, 100)) and all(got[i] == f"short\n\n{own(i)}" for i in range(100, 1300))
 
 
+def html_truth(rows, least=8, pages=3):
+    """Blocks without the tokens of runs that enough distinct token streams of a host share, for pages that mark no article."""
+    parsed, seen = {}, collections.defaultdict(set)
+    for i, url, page in rows:
+        marked, found = html.blocks(page or "")
+        host = (re.match(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "") or [None, ""])[1].lower()
+        parsed[i] = (marked, host, found)
+        stream = tuple(t for b in found for t in b.split(" "))
+        if not marked:
+            for k in range(len(stream) - least + 1):
+                seen[host, stream[k : k + least]].add(stream)
+    out = {}
+    for i, (marked, host, found) in parsed.items():
+        stream = [t for b in found for t in b.split(" ")]
+        gone = set()
+        if not marked:
+            for k in range(len(stream) - least + 1):
+                if len(seen[host, tuple(stream[k : k + least])]) >= pages:
+                    gone |= set(range(k, k + least))
+        kept, at = [], 0
+        for b in found:
+            tokens = b.split(" ")
+            kept.append(" ".join(t for k, t in enumerate(tokens, at) if k not in gone))
+            at += len(tokens)
+        out[i] = "\n\n".join(x for x in kept if x)
+    return out
+
+
+def test_html_brute_force(spark):
+    """Pages whose article isn't marked, a host of its own for each third of them, repeated rows and copies."""
+    pages = [(r.page_id, r.url, r.html.replace("<article", "<div").replace("</article", "</div")) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rng = np.random.default_rng(4)
+    words = [f"t{k}" for k in range(12)]
+    some = [(1000 + k, f"http://u@H{k % 3}.example:80/x", "<p>" + "</p><p>".join(" ".join(rng.choice(words, rng.integers(1, 60))) for _ in range(3))) for k in range(60)]
+    rows = pages + some + [(2000 + k, u, p) for k, (_, u, p) in enumerate(some[:20])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == html_truth(rows)
+
+
+def test_html_names():
+    """Names that only contain a word of the list don't mark what goes; a broken page takes time in proportion to its size."""
+    page = '<article><div class="post no-sidebar">keep me</div><h2 id="related-work">R</h2><section id="social-history">s</section><p class="ad-hoc">x</p><div class="comment-list">c</div><div class="ad">a</div><div id="postComments">c</div><div class="share-buttons">n</div></article>'
+    assert html.blocks(page) == (True, ["keep me", "R", "s", "x"])
+    assert html.blocks('<div class="site-header">no</div><div class="main-content">yes</div><p title="a > b">t <b it\'s >q</b></p>') == (False, ["yes", "t q"])
+    for part in ("<a ", '<a "', "<!", "<a '\"", "</a", '<p class="x" <b>'):
+        assert isinstance(html.blocks(part * 60_000), tuple)
+    assert html.blocks("<div></p>" * 50_000 + "end") == (False, ["end"])
+
+
 def test_html_article_named_elsewhere(spark):
     """Pages that name an article only in a comment, a script or as a reader's comment don't mark theirs."""
     shared = "Welcome to our site please read all of our rules before you go on"
@@ -560,7 +609,11 @@ def test_awkward(spark, awkward, labels):
 
 
 def test_pages_empty(spark):
-    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    schema = "page_id long, url string, html string, text int, host string, marked string, n_chars string"
+    assert html.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://a/", "<p>x y</p>", 1, "h", "m", "n"), (1, "http://a/", "<p>x y</p>", 1, "h", "m", "n"), (None, None, None, None, None, None, None), (3, "http://a/", "<p>" + "long text " * 300_000, 1, "h", "m", "n")]
+    out = html.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [r.text for r in out if r.page_id == 1] == ["x y"] * 2 and sorted(r.n_chars for r in out) == [0, 3, 3, 2_999_999]
 
 
 def test_words_in_pieces():
