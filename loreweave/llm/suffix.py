@@ -11,9 +11,9 @@ be compared where anchors are equal.
    anchor. Only those few send their bytes.
 3. Stretches with one anchor are cut into suffixes, sorted by a merge sort that
    compares by binary search over prefix hashes, and windows are looked up
-   among neighbours in that order. Where only a few stretches share an anchor,
-   the same binary search finds each two's common extension to both sides, and
-   nothing has to be sorted. Equal hashes are verified byte by byte. The
+   among neighbours in that order. Equal hashes are verified byte by byte.
+   (Where asked to, the same binary search compares a few stretches two by two
+   instead; the tests hold both ways against each other.) The
    windows of an anchor with very many stretches (the edges of a passage that
    a large part of all documents holds) are dealt by their own 64-bit hashes,
    one for each batch and window, so that no task has to hold them all.
@@ -36,8 +36,8 @@ from .common import batch_count, batch_of, dealt_by, text_bytes
 
 U = np.uint64
 GRAM = 16
-#: Up to so many stretches of one anchor are compared two by two.
-FEW = 6
+#: Up to so many stretches of one anchor are compared two by two; 1: all are sorted.
+FEW = 1
 #: Over so many, their windows are dealt by their own hashes instead.
 HOT = 2000
 BLOCK = 1 << 20
