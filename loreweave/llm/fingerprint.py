@@ -96,7 +96,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.size(held) > 0, F.aggregate(held, F.lit(0), lambda x, y: x + y) / F.size(held)).otherwise(0.0)
 
 
-def with_next(docs: DataFrame, group_rows: int = 512) -> tuple[DataFrame, int]:
+def with_next(docs: DataFrame, group_rows: int = 1024) -> tuple[DataFrame, int]:
     """Each row with its range, its place there and ``next_text``, that of the row that follows in descending doc_id (after the last: the first); the number of rows.
 
     Rows are dealt by ranges of doc_id and look at their neighbour inside a
