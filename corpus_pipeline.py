@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loreweave.llm.common import stage, table
 from loreweave.llm.jaccard import jaccard_components
 from loreweave.llm.packing import pack
+from loreweave.llm.pieces import token_count
 from loreweave.llm.quality import resample
 from loreweave.llm.suffix import dedup_substrings
 from loreweave.llm.toxicity import score_toxicity
@@ -21,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that resampling doesn't draw go."""
+    """Documents that resampling doesn't draw go. Without labelled good rows all weigh the same and all stay."""
     return resample(docs, table(spark, sf_dir, "labels")).where("selected").select(*COLUMNS)
 
 
@@ -38,7 +39,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    """Every document with its text, its number of tokens, and its place in a batch of its length bucket. An empty table gives an empty one."""
+    return pack(docs, token_count(), carry=True)
 
 
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]
@@ -48,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus: every stage on all rows of the one before, written and reread in between. Rows with null ids or texts are handled as each operator says."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
