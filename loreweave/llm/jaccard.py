@@ -293,4 +293,5 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, block_set
     own = classes.join(linked.select(F.col("vertex").alias("class"), F.col("component").alias("group")), "class")
     group = own.select("class", "group").join(own.groupBy("group").agg(F.min("rep").alias("component")), "group").select("class", "component")
     by_class = classes.join(group, "class", "left").join(n_links, "class", "left").select("class", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return kept.select("doc_id", "n_shingles", "class").join(by_class, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    # staged, so that the join has an exchange on both sides and a class of very many copies can be split
+    return kept.select("doc_id", "n_shingles", "class").join(stage(by_class), "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
