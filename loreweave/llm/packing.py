@@ -60,7 +60,7 @@ def choose_boundaries(length: np.ndarray, count: np.ndarray, total: np.ndarray,
     return out[::-1]
 
 
-def pack(docs: DataFrame, length: Column | None = None, buckets: int = 12, budget: int = 65_536, shard_rows: int = 50_000, carry: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: Column | None = None, buckets: int = 12, budget: int = 65_536, shard_rows: int = 50_000, shard_tokens: int = 8_000_000, carry: bool = False) -> DataFrame:
     """Bucket and batch of each row; only ids and lengths are shuffled, and where ``carry`` is set all other columns.
 
     Returns doc_id, n_tokens, bucket (0 the shortest), bucket_length (every
@@ -71,7 +71,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 12, budge
     than ``budget`` is a batch of its own. ``length`` is the number of tokens
     of a row (whole text; words by default; null counts as 0), and is worked
     out once. Empty texts have length 0 and lie in the lowest bucket. Repeated
-    rows are packed as often as they occur. Rows are dealt into shards by their
+    rows are packed as often as they occur. A shard has about ``shard_rows`` rows
+    or ``shard_tokens`` tokens, whichever is less. Rows are dealt into shards by their
     id and length, those without an id by their place in the staged lengths;
     within a shard they are ordered by a hash of their id, then length.
     """
@@ -82,8 +83,8 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 12, budge
     hist = sized.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
     top, count, total = (np.array([r[c] for r in hist], np.int64) for c in ("top", "n", "t"))
     bounds = choose_boundaries(top, count, total, buckets)
-    rows_in = [int(count[(top > lo) & (top <= hi)].sum()) for lo, hi in zip([-1, *bounds], bounds, strict=False)]
-    shards = [max(1, -(-r // shard_rows)) for r in rows_in]
+    own = [(top > lo) & (top <= hi) for lo, hi in zip([-1, *bounds], bounds, strict=False)]
+    shards = [max(1, -(-int(count[b].sum()) // shard_rows), -(-int(total[b].sum()) // shard_tokens)) for b in own]
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("bucket") + 1) if values else F.lit(None).cast("long")
     bucket = F.lit(0)
     for b in bounds[:-1]:
