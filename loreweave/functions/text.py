@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +29,7 @@ COMPLEX = [
 ]
 CAUSAL = ["due to", "because of", "as a result of", "caused by", "owing to", "on account of", "thanks to", "attributable to"]
 CONFLICT = [
-    "notice of material inconsistency", "direct conflict between", "nca has identified", "conflict exists between", "must be reconciled",
-    "does not explain this discrepancy", "readers are specifically advised", "must resolve this inconsistency",
+    "notice of material inconsistency", "direct conflict between", "conflict exists between", "must be reconciled", "does not explain this discrepancy", "readers are specifically advised", "must resolve this inconsistency",
 ]
 REVISION = [
     "revised to", "corrected to", "restated as", "superseded by", "amended to", "updated to", "replaced with", "should be", "actually is",
@@ -52,10 +53,18 @@ MIME = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
 }
 UPLOADS = ["pdf", "docx", "txt", "md", "html", "htm"]
-EXPANSIONS = {
-    "bridge": ["IP Bridge Agreement", "IP Bridge"], "interim": ["IP Bridge Agreement", "interim arrangement"], "temporary": ["IP Bridge Agreement"],
-    "closing": ["Closing Date", "Closing Conditions"], "itar": ["DDTC", "Directorate of Defense Trade Controls"], "regulatory": ["DDTC", "ITAR"],
-}
+CREDENTIALS = r",\s*[A-Z][A-Za-z\-.]+(?:\s*,\s*[A-Z][A-Za-z\-.]+)*$"
+DEFINITIONS = [
+    r"\((?:the\s+)?[\"“”‘’]([A-Z][a-zA-Z\s\-]+)[\"“”‘’]\)", r"hereinafter\s+(?:referred\s+to\s+as\s+)?[\"“”]([^\"”]+)[\"“”]",
+    r"\(collectively[,\s]+(?:the\s+)?[\"“”]([^\"”]+)[\"“”]\)", r"[\"“]([A-Z][a-zA-Z\s\-]+)[\"”]\s*(?:means|shall mean|refers to)",
+]
+DEFINITION_HEADER = r"(article\s+i\b|section\s+1\b|definitions|defined terms|appendix\s+[a-z])"
+KEY_SECTIONS = ["Conclusion", "Key Takeaways", "Summary", "Recommendation"]
+GRAPH_MARK = "GRAPH CONNECTIONS"
+TIERS = [("small", 500), ("medium", 2000)]
+
+#: Expansions of defined terms by single lower-case word; callers bring their own documents' terms.
+EXPANSIONS: dict[str, list[str]] = {"closing": ["Closing Date", "Closing Conditions"]}
 TTL_DAYS = {"processing": 7, "completed": 30, "failed": 7, "cancelled": 2}
 
 
@@ -98,7 +107,7 @@ def strip_honorific(name: Column) -> Column:
 
 
 def strip_credentials(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, r",\s*[A-Z][A-Za-z\-.]+(?:\s*,\s*[A-Z][A-Za-z\-.]+)*$", ""))
+    return F.trim(F.regexp_replace(name, CREDENTIALS, ""))
 
 
 def period(header: Column) -> Column:
@@ -166,9 +175,10 @@ def is_reference(predicate: Column) -> Column:
     return predicate.rlike(any_of(REFERENCES))
 
 
-def contradiction(context: Column) -> Column:
+def contradiction(context: Column, conflict: list[str] | None = None) -> Column:
+    """How the source speaks of a contradiction; ``conflict`` are more phrases that document one, such as those that name a party."""
     has = lambda items: reduce(lambda a, b: a | b, [F.lower(context).contains(x) for x in items])
-    return F.when(has(CONFLICT), "documented_conflict").when(has(REVISION), "revision").otherwise("none")
+    return F.when(has([*CONFLICT, *(conflict or [])]), "documented_conflict").when(has(REVISION), "revision").otherwise("none")
 
 
 def confidence(score: Column, contradicted: Column, feedback: Column) -> Column:
@@ -231,11 +241,17 @@ def _lead(parts: Column, word: str) -> Column:
 
 
 def highlight(text: Column, term: str) -> Column:
-    import re
+    """The term's first occurrence marked; where there is none, the first occurrence of each of its words, one after the other."""
 
-    quoted = re.sub(r"([^\w\s])", r"\\\1", term.strip())
-    words = "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in term.split())
-    return F.when(F.lower(text).contains(term.lower().strip()), F.regexp_replace(text, f"(?i)({quoted})", "<mark>$1</mark>")).otherwise(F.regexp_replace(text, f"(?i)({words})", "<mark>$1</mark>"))
+    def first(x: Column, word: str) -> Column:
+        at = F.locate(word, F.lower(x))
+        marked = F.concat(F.substring(x, F.lit(1), at - 1), F.lit("<mark>"), F.substring(x, at, F.lit(len(word))), F.lit("</mark>"), F.substring(x, at + len(word), F.length(x)))
+        return F.when(at > 0, marked).otherwise(x)
+
+    if not term.strip():
+        return text
+    plain = term.lower()
+    return F.when(F.lower(text).contains(plain), first(text, plain)).otherwise(reduce(first, plain.split(), text))
 
 
 def node_size(degree: Column) -> Column:
@@ -278,3 +294,111 @@ def edge_class(label: Column) -> Column:
 def variable_lines(variables: Column) -> Column:
     """A map as lines of ``name = value``, in the map's order."""
     return F.array_join(F.transform(F.map_entries(variables), lambda e: F.concat(e["key"], F.lit(" = "), e["value"].cast("string"))), "\n")
+
+
+def graph_tier(n_nodes: Column) -> Column:
+    """How much of a graph of so many nodes is drawn."""
+    return reduce(lambda rest, tier: F.when(n_nodes <= tier[1], tier[0]).otherwise(rest), reversed(TIERS), F.lit("large"))
+
+
+def context_line(source: Column, section: Column, page: Column, score: Column, text: Column) -> Column:
+    """A hit as the model reads it; what is missing is Unknown, General, ? and 0.50."""
+    return F.format_string("[Source: %s | Section: %s | Pg %s | Score: %.2f]\n%s", F.coalesce(source, F.lit("Unknown")), F.coalesce(section, F.lit("General")), F.coalesce(page.cast("string"), F.lit("?")), F.coalesce(score, F.lit(0.5)).cast("double"), F.coalesce(text, F.lit("")))
+
+
+def is_graph_context(text: Column) -> Column:
+    return text.contains(GRAPH_MARK)
+
+
+def valid_question(question: Column) -> Column:
+    """The trimmed question, or null where it holds a NUL or hasn't 3 to 2,000 characters."""
+    plain = F.trim(question)
+    return F.when(F.length(question).between(3, 2000) & (F.instr(question, "\x00") == 0) & (F.length(plain) > 0), plain)
+
+
+def is_retryable(kind: Column, status: Column) -> Column:
+    """Network failures and timeouts, and answers 429 and from 500 on."""
+    return kind.isin("connection", "timeout") | F.coalesce((status == 429) | (status >= 500), F.lit(False))
+
+
+def empty_to_null(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
+
+
+def utc_now() -> Column:
+    """Now, in UTC, as text that sorts by time."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def json_object(text: Column) -> Column:
+    """The object between the first { and the last } as a map of texts, without code fences; empty if there is none."""
+    plain = F.regexp_replace(text, "```(?:json)?", "")
+    return F.coalesce(F.from_json(F.nullif(F.regexp_extract(plain, r"(?s)(\{.*\})", 1), F.lit("")), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def defined_terms(text: Column) -> Column:
+    """Terms that a text defines in quotes, pattern by pattern."""
+    return F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(1)) for p in DEFINITIONS])
+
+
+def alias_window(text: Column, header_chars: int = 8000, most_tokens: int = 4000, front: int = 3000, back: int = 1000) -> Column:
+    """Where a document defines its terms: the part after a header of definitions, the paragraph around each definition, and the whole text or its two ends.
+
+    Parts whose first 200 characters are equal count once. Null stays null.
+    """
+    header, patterns = re.compile(DEFINITION_HEADER, re.I), [re.compile(p, re.I) for p in DEFINITIONS]
+
+    def of(x: str) -> str:
+        parts = [x[m.start() : m.start() + header_chars] for m in [header.search(x)] if m]
+        for hit in (m for p in patterns for m in p.finditer(x)):
+            stop = x.find("\n\n", hit.end())
+            parts.append(x[max(0, x.rfind("\n", 0, hit.start())) : stop if stop >= 0 else hit.end() + 500])
+        words = x.split()
+        parts.append(x if len(words) <= most_tokens else " ".join(words[:front]) + "\n\n[...]\n\n" + " ".join(words[-back:]))
+        return "\n\n---\n\n".join({p[:200]: p for p in reversed(parts)}[k] for k in dict.fromkeys(p[:200] for p in parts))
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else of(t) for t in texts.to_pylist()], pa.string())
+
+    return run(text)
+
+
+def quote_key_sections(markdown: Column) -> Column:
+    """Sections under a heading of KEY_SECTIONS as quotes, line by line; a section ends before the next heading."""
+    head = r"(?is)^(.*?)(#{1,3}\s*(?:" + "|".join(KEY_SECTIONS) + r").*)$"
+    quoted = lambda x: F.concat(F.regexp_extract(x, head, 1), F.lit("> "), F.regexp_replace(F.regexp_extract(x, head, 2), "\n", "\n> "))
+    return F.array_join(F.transform(F.split(markdown, r"(?=\n#{1,3})"), lambda x: F.when(x.rlike(head), quoted(x)).otherwise(x)), "")
+
+
+def toggled(selected: Column, item: Column) -> Column:
+    return F.when(F.array_contains(selected, item), F.array_remove(selected, item)).otherwise(F.array_append(selected, item))
+
+
+def query_keywords(question: Column, named: Column, expansions: dict[str, list[str]] | None = None) -> Column:
+    """At most 8 names found in a question, then expansions of its defined terms, each once and without honorifics; its longer words where no name was found."""
+    table = expansions if expansions is not None else EXPANSIONS
+    empty = F.array().cast("array<string>")
+    words = F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != "")
+    more = empty
+    if table:
+        known = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
+        more = F.flatten(F.filter(F.transform(words, lambda w: F.try_element_at(known, F.regexp_replace(F.lower(w), "[^a-z]", ""))), lambda x: x.isNotNull()))
+    first = F.slice(named, 1, 8)
+    found = F.concat(first, F.array_except(more, first))
+    return F.when(F.size(F.coalesce(named, empty)) > 0, F.transform(found, strip_honorific)).otherwise(F.filter(words, lambda w: F.length(w) > 4))
+
+
+def phrase_score(name: Column, keyword: Column) -> Column:
+    """Share of a name's words that a keyword found in it as a phrase makes up; 0 where it isn't."""
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    n, k = plain(name), plain(keyword)
+    held = (k != "") & F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), k, F.lit(" ")))
+    return F.when(held, F.size(F.split(k, " ")) / F.size(F.split(n, " "))).otherwise(0.0)
+
+
+def edge_text(name: Column, aliases: Column, relation: Column, other: Column, relation2: Column, leaf: Column) -> Column:
+    """An edge as the model reads it, with the first end's aliases, and the leaf below where there is one."""
+    label = F.when(F.size(F.coalesce(aliases, F.array().cast("array<string>"))) > 0, F.concat(name, F.lit(" (aka: "), F.array_join(aliases, ", "), F.lit(")"))).otherwise(name)
+    more = F.when(relation2.isNotNull() & leaf.isNotNull(), F.concat(F.lit("\n  └─> ["), relation2, F.lit("] --> ("), leaf, F.lit(")"))).otherwise("")
+    return F.concat(F.lit("("), label, F.lit(") -["), relation, F.lit("]-> ("), other, F.lit(")"), more)

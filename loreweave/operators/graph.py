@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..staging import stage
 
 
-def upsert_nodes(nodes: DataFrame) -> DataFrame:
-    """One row for each (type, name): created by the first document, owned by the last."""
-    return nodes.groupBy("type", "name").agg(F.min("document_id").alias("created_by"), F.max("document_id").alias("document_id"))
+def upsert_nodes(nodes: DataFrame, order: str = "document_id", current: DataFrame | None = None, properties: list[str] | None = None) -> DataFrame:
+    """One row for each (type, name): created by the first document to arrive (column ``order``), owned by the last.
+
+    ``properties`` take their last value that isn't null. ``current`` is the
+    table as it is: its creators stay, and what it says is older than all of ``nodes``.
+    """
+    given = properties or []
+    rows = nodes.select("type", "name", F.col("document_id").alias("created_by"), "document_id", F.lit(1).alias("__age"), F.col(order).alias("__at"), *given)
+    if current is not None:
+        rows = rows.unionByName(current.select("type", "name", "created_by", "document_id", F.lit(0).alias("__age"), F.lit(None).cast(rows.schema["__at"].dataType).alias("__at"), *given))
+    at = F.struct("__age", "__at")
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in given]
+    return rows.groupBy("type", "name").agg(F.min_by("created_by", at).alias("created_by"), F.max_by("document_id", at).alias("document_id"), *last)
 
 
 def upsert_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -58,7 +69,7 @@ def delete_document(nodes: DataFrame, edges: DataFrame, document: Column) -> tup
 
 
 def validate(nodes: DataFrame, edges: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Unknown node types become Concept; edges without both ends in their chunk go."""
+    """Unknown node types become Concept; edges without both ends in their chunk go, and so with them graphs without nodes."""
     n = nodes.withColumn("type", F.when(F.col("type").isin(allowed), F.col("type")).otherwise("Concept"))
     ids = n.select("chunk_id", "id").distinct()
     ok = edges.join(ids.withColumnRenamed("id", "source_id"), ["chunk_id", "source_id"], "left_semi").join(ids.withColumnRenamed("id", "target_id"), ["chunk_id", "target_id"], "left_semi")
@@ -96,8 +107,59 @@ def transitive_cycles(edges: DataFrame) -> DataFrame:
     return left.select("grp").distinct()
 
 
-def top_degree(edges: DataFrame, n: int) -> DataFrame:
-    return degrees(edges).orderBy(F.desc("degree"), "name").limit(n)
+def top_degree(edges: DataFrame, n: int, nodes: DataFrame | None = None) -> DataFrame:
+    """The ``n`` names with the most edges; with ``nodes``, those without an edge count as 0."""
+    found = degrees(edges)
+    if nodes is not None:
+        found = nodes.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return found.orderBy(F.desc("degree"), "name").limit(n)
+
+
+def local_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges between ids of a chunk as edges between names: (chunk_id, src, type, dst); those without both ends go."""
+    named = nodes.groupBy("chunk_id", "id").agg(F.max("name").alias("name"))
+    end = lambda c, to: named.select("chunk_id", F.col("id").alias(c), F.col("name").alias(to))
+    return edges.join(end("source_id", "src"), ["chunk_id", "source_id"]).join(end("target_id", "dst"), ["chunk_id", "target_id"]).select("chunk_id", "src", "type", "dst")
+
+
+def search_nodes(nodes: DataFrame, keywords: list[str], least: float = 0.3, documents: list[str] | None = None) -> DataFrame:
+    """Nodes (name, document_id) whose best score for a keyword is over ``least``: name, score; of some documents only where any are named."""
+    asked = [k for k in keywords if k.strip()]
+    if documents:
+        nodes = nodes.where(F.col("document_id").isin(list(documents)))
+    if not asked:
+        return nodes.select("name", F.lit(0.0).alias("score")).where(F.lit(False))
+    score = F.greatest(F.lit(0.0), *[T.phrase_score(F.col("name"), F.lit(k)) for k in asked])
+    return nodes.select("name", score.alias("score")).where(F.col("score") > least).groupBy("name").agg(F.max("score").alias("score"))
+
+
+def search(nodes: DataFrame, edges: DataFrame, keywords: list[str], second: list[str], documents: list[str] | None = None, limit: int = 50) -> DataFrame:
+    """What the graph says about keywords, as lines: seeds by score, their edges and optionally the next ones. ``nodes`` has name, document_id, aliases."""
+    hops = two_hops(search_nodes(nodes, keywords, documents=documents), edges, second, limit)
+    aka = nodes.groupBy(F.col("name").alias("src")).agg(F.max("aliases").alias("aliases"))
+    return hops.join(aka, "src", "left").withColumn("line", T.edge_text(F.col("src"), F.col("aliases"), F.col("type"), F.col("dst"), F.col("type2"), F.col("leaf")))
+
+
+def first_match(nodes: DataFrame, term: str) -> DataFrame:
+    """The first node by name that holds the term, whatever its case."""
+    plain = term.strip().lower()
+    return nodes.where(F.lower("name").contains(plain) if plain else F.lit(False)).orderBy("name").limit(1)
+
+
+def drawn(nodes: DataFrame, box: tuple[float, float, float, float], label_degree: int) -> DataFrame:
+    """Nodes (x, y, degree) inside the viewport (left, top, right, bottom), and whether they are labelled."""
+    left, top, right, bottom = box
+    return nodes.where(F.col("x").between(left, right) & F.col("y").between(top, bottom)).withColumn("labelled", F.col("degree") > label_degree)
+
+
+def shape(edges: DataFrame) -> DataFrame:
+    """Number of nodes and links as one text: what tells two states of a graph apart. An empty graph is 0:0."""
+    return degrees(edges).agg(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.sum("degree") / 2, F.lit(0.0)).cast("long").cast("string")).alias("shape"))
+
+
+def duplicate_keys(nodes: DataFrame, labels: list[str]) -> DataFrame:
+    """(type, name) of the given types that occur more than once: what a uniqueness constraint would refuse."""
+    return nodes.where(F.col("type").isin(labels)).groupBy("type", "name").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def first_in_group(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
 
 RRF_K = 2
+#: Vectors and queries that a task multiplies at once.
+VECTOR_ROWS, QUERY_ROWS = 65_536, 2048
 
 
 def chunk_lines(docs: DataFrame) -> DataFrame:
@@ -35,55 +38,66 @@ def top(df: DataFrame, per: str | list[str], score: Column, tie: str, k: int | C
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def sparse_topk(questions: DataFrame, docs: DataFrame, k: int = 10, question_key: str = "item_id") -> DataFrame:
-    """Sum of tf (question) x idf x tf (document), rounded before ranking. Only the questions' terms are ranked.
+def payload_filter(filters: dict | None) -> Column | None:
+    """All of the columns' conditions: one of a list's values, or a single value. None for no filter; an empty list filters nothing."""
+    parts = [F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else F.col(k) == v for k, v in (filters or {}).items() if not (isinstance(v, (list, tuple, set)) and not v)]
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+def sparse_topk(questions: DataFrame, docs: DataFrame, k: int = 10, question_key: str = "item_id", filters: dict | None = None) -> DataFrame:
+    """Sum of tf (question) x idf x tf (document), rounded before ranking, and ``shared``, the number of distinct terms in common.
 
     A term's document frequency is counted over all documents; postings of
-    terms in no question leave before the join's shuffle by a semi-join.
+    terms in no question leave before the join's shuffle by a semi-join and are
+    worked out once. ``filters`` restrict the documents that are ranked.
     """
+    wanted = payload_filter(filters)
+    columns = list(filters) if wanted is not None else []
     asked = term_counts(questions, question_key).withColumnRenamed("tf", "tf_q")
-    tf = term_counts(docs, "doc_id").join(asked.select("term").distinct(), "term", "left_semi")
+    terms = docs.select("doc_id", *columns, F.explode(T.tokens(F.col("text"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = stage(terms.groupBy("doc_id", "term", *columns).agg(F.count("*").alias("tf")))
     weights = idf(tf, docs.count()).select("term", "idf")
-    hits = tf.join(weights, "term").join(asked, "term").groupBy(question_key, "doc_id").agg(F.round(F.sum(F.col("tf_q").cast("double") * F.col("idf") * F.col("tf")), 6).alias("score"))
+    ranked = tf if wanted is None else tf.where(wanted)
+    gained = F.round(F.sum(F.col("tf_q").cast("double") * F.col("idf") * F.col("tf")), 6)
+    hits = ranked.join(asked.join(weights, "term"), "term").groupBy(question_key, "doc_id").agg(gained.alias("score"), F.count("*").alias("shared"))
     return top(hits, question_key, F.col("score"), "doc_id", k)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", col: str = "embedding", block: int = 2048, exclude_self: bool = True) -> DataFrame:
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", col: str = "embedding", exclude_self: bool = True) -> DataFrame:
     """Exact cosine top ``k`` of each query over all vectors: query_id, vec_id, score, rank.
 
-    Queries come in blocks of bounded size, in the order of their ids; a task
-    multiplies its vectors with a block and passes on its own best ``k``.
+    One plan over a grid of query blocks and vector blocks of bounded size: a
+    task multiplies two blocks and passes on each query's best ``k`` of them.
     """
     spark = vectors.sparkSession
-    numbered = queries.select(key, col).withColumn("__block", F.pmod(F.xxhash64(key), F.lit(max(1, -(-queries.count() // block)))))
-    out = None
-    for (b,) in sorted(numbered.select("__block").distinct().collect()):
-        rows = numbered.where(F.col("__block") == b).select(key, col).orderBy(key).collect()
-        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        part = vectors.select(key, col).mapInArrow(_best(ids, q, k, exclude_self), f"query_id long, {key} long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], f"query_id long, {key} long, score double")
-    return top(out, "query_id", F.col("score"), key, k)
-
-
-def _best(ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vid = b.column(0).to_numpy(zero_copy_only=False)
-            x = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(vid), -1) if len(vid) else np.zeros((0, q.shape[1]))
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = np.round(q @ x.T, 6)
+    down = max(1, -(-queries.count() // QUERY_ROWS))
+    across = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTOR_ROWS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(key).cast("long").alias("query_id"), F.col(col).cast("array<double>").alias("q"), F.pmod(F.xxhash64(key), F.lit(down)).cast("int").alias("down"), spread(across).alias("across"))
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(across)).cast("int").alias("across"), spread(down).alias("down"))
+    best = q.groupBy("down", "across").cogroup(v.groupBy("down", "across")).applyInArrow(lambda a, b: _best(a, b, k, exclude_self), "query_id long, id long, score double")
+    return top(best.withColumnRenamed("id", key), "query_id", F.col("score"), key, k)
+
+
+def _unit(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best(queries: pa.Table, vectors: pa.Table, k: int, exclude_self: bool) -> pa.Table:
+    rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(queries) and len(vectors):
+        ids, vid = queries.column("query_id").to_numpy(), vectors.column("id").to_numpy()
+        q, v = _unit(queries.column("q"), len(ids)), _unit(vectors.column("v"), len(vid))
+        for a in range(0, len(ids), 256):
+            s = np.round(q[a : a + 256] @ v.T, 6)
             if exclude_self:
-                s[ids[:, None] == vid[None, :]] = -np.inf
+                s[ids[a : a + 256, None] == vid[None, :]] = -np.inf
             order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            cols = order.ravel()
-            ok = np.isfinite(s[rows, cols])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]]), pa.array(vid[cols[ok]]), pa.array(s[rows[ok], cols[ok]])], ["query_id", b.schema.names[0], "score"])
-
-    return run
+            score = np.take_along_axis(s, order, 1)
+            ok = np.isfinite(score)
+            rows.append((np.broadcast_to(ids[a : a + 256, None], order.shape)[ok], vid[order[ok]], score[ok]))
+    return pa.table(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*rows, strict=True)), strict=True)))
 
 
 def rrf(channels: list[DataFrame], per: str, item: str, limit: int, k: int = RRF_K) -> DataFrame:
@@ -104,10 +118,12 @@ def per_query_limit(n: Column, multi_entity: Column) -> Column:
     return F.greatest(F.lit(5), F.floor(F.when(multi_entity, 15).otherwise(10) / n)).cast("int")
 
 
-def rerank(df: DataFrame, per: str, score: str, prior: str, threshold: float, k: int = 7) -> DataFrame:
-    """Rows over the threshold, or all where none is, best ``k`` of each question; ties keep the prior order."""
-    best = F.max(score).over(Window.partitionBy(per))
-    kept = df.where((F.col(score) > threshold)) if threshold is None else df.withColumn("__best", best).where((F.col(score) > threshold) | (F.col("__best") <= threshold)).drop("__best")
+def rerank(df: DataFrame, per: str, score: str, prior: str, threshold: float | None, k: int = 7) -> DataFrame:
+    """Rows over the threshold, or all where none is or no threshold is set, best ``k`` of each question; ties keep the prior order."""
+    kept = df
+    if threshold is not None:
+        best = F.max(score).over(Window.partitionBy(per))
+        kept = df.withColumn("__best", best).where((F.col(score) > threshold) | (F.col("__best") <= threshold)).drop("__best")
     return top(kept, per, F.col(score), prior, k)
 
 
@@ -119,3 +135,35 @@ def within_budget(df: DataFrame, per: list[str], order: list[Column], size: Colu
 
 def last_turns(df: DataFrame, per: str, turn: str, n: int) -> DataFrame:
     return df.withColumn("back", F.row_number().over(Window.partitionBy(per).orderBy(F.desc(turn)))).where(F.col("back") <= n)
+
+
+def sub_queries(questions: DataFrame, key: str, question: str, parts: str) -> DataFrame:
+    """A question's parts (an array), one row each: (key, sub, text). With several parts the question itself comes first, as number 0."""
+    several = F.size(parts) > 1
+    every = F.when(several & ~F.array_contains(F.col(parts), F.col(question)), F.concat(F.array(question), F.col(parts))).otherwise(F.when(F.size(parts) > 0, F.col(parts)).otherwise(F.array(question)))
+    return questions.select(key, F.posexplode(every).alias("sub", "text"))
+
+
+def dense_lines(docs: DataFrame, limit: int = 6000) -> DataFrame:
+    """The densest lines of each text (doc_id, text) in a budget of characters, joined: (doc_id, context). Where they are blank, the text's beginning.
+
+    A document's lines are looked at together; separators don't count.
+    """
+    scored = F.transform(F.split("text", "\n"), lambda x, i: F.struct((-T.line_density(x)).alias("less"), i.alias("i"), x.alias("line")))
+    step = lambda acc, x: F.struct((acc["size"] + F.length(x["line"])).alias("size"), F.when(acc["size"] + F.length(x["line"]) <= limit, F.concat(acc["lines"], F.array(x["line"]))).otherwise(acc["lines"]).alias("lines"))
+    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<string>").alias("lines"))
+    kept = F.array_join(F.aggregate(F.array_sort(scored), start, step, lambda a: a["lines"]), "\n")
+    return docs.select("doc_id", F.when(F.trim(F.regexp_replace(kept, r"\s+", "")) != "", kept).otherwise(F.substring("text", 1, limit)).alias("context"))
+
+
+def assembled_context(docs: DataFrame, per: str, order: str, base: Column, limit: int = 60_000, reserve: int = 2000) -> DataFrame:
+    """Context of each question: its graph text, then the documents that fit the budget; "No relevant context." where none does, even with a graph text.
+
+    ``base`` is the size of what else the model reads. Returns (per, n_docs, context).
+    """
+    plain = within_budget(docs.where(~T.is_graph_context(F.col("text"))).withColumn("__base", base), [per], [F.col(order)], F.length("text").cast("long"), limit)
+    kept = plain.where(F.col("running") + F.col("__base") < limit - reserve)
+    joined = kept.groupBy(per).agg(F.count("*").alias("n_docs"), F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]).alias("parts"))
+    graph = docs.where(T.is_graph_context(F.col("text"))).groupBy(per).agg(F.min_by("text", order).alias("graph"))
+    every = docs.select(per).distinct().join(joined, per, "left").join(graph, per, "left")
+    return every.select(per, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.when(F.col("n_docs") > 0, F.concat(F.coalesce("graph", F.lit("")), F.lit("\n\n"), F.array_join("parts", "\n"))).otherwise("No relevant context.").alias("context"))

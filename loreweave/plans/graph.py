@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -125,14 +125,71 @@ def alias_resolve_exact(spark, sf):
     return E.resolve_aliases(nodes, reg).select("s_suppkey", "canonical", "new_id")
 
 
-@query("""WITH m AS (SELECT p_name AS old, split_part(p_name, ' ', 1) AS new FROM (SELECT DISTINCT p_name FROM part)),
-e AS (SELECT DISTINCT p.p_name AS src, q.p_name AS dst FROM part p JOIN part q ON p.p_partkey = q.p_partkey - 1)
-SELECT a.new AS src, b.new AS dst, count(*) AS n FROM e JOIN m a ON e.src = a.old JOIN m b ON e.dst = b.old WHERE a.new <> b.new GROUP BY 1, 2""")
-def registry_apply_remap(spark, sf):
+SLUG = "regexp_replace(translate(lower({}), ' -', '__'), '[^a-z0-9_]', '', 'g')"
+GRAPHS = f"""n AS (SELECT p_brand AS chunk_id, p_partkey AS pos, concat('n', p_partkey) AS id, CASE p_partkey % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' ELSE 'Product' END AS type, p_name AS name, split_part(p_name, ' ', 1) AS canonical FROM part),
+r AS (SELECT DISTINCT canonical, name FROM n), m AS (SELECT chunk_id, {SLUG.format('canonical')} AS id, arg_min(type, pos) AS type, arg_min(canonical, pos) AS name, min(pos) AS pos FROM n GROUP BY 1, 2)"""
+
+
+def _graphs(spark, sf):
+    """Parts as nodes of their brand's graph, each with an edge to the next one, or now and then to a node that isn't there."""
     p = table(spark, sf, "part")
-    e = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("src")).join(p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("dst")), "k").select("src", "dst").distinct()
-    m = p.select(F.col("p_name").alias("old"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("new")).distinct()
-    return G.remap(e, m).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    nodes = p.select(F.col("p_brand").alias("chunk_id"), F.col("p_partkey").alias("pos"), F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' ELSE 'Product' END").alias("type"), F.col("p_name").alias("name"))
+    next_ = F.lead("id").over(Window.partitionBy("chunk_id").orderBy("pos"))
+    edges = nodes.withColumn("next", F.when(F.col("pos") % 11 == 0, "missing").otherwise(next_)).where("next IS NOT NULL").select("chunk_id", F.col("id").alias("source_id"), F.lit("NEXT").alias("type"), F.col("next").alias("target_id"))
+    registry = nodes.select("name", F.split_part("name", F.lit(" "), F.lit(1)).alias("canonical")).distinct()
+    return nodes, edges, registry
+
+
+@query(f"""WITH {GRAPHS} SELECT chunk_id, id, type, name, CASE WHEN type IN ('Person', 'Organization') THEN (SELECT list(r.name ORDER BY r.name) FROM r WHERE r.canonical = m.name AND r.name <> r.canonical) END AS aliases FROM m""")
+def registry_apply_nodes(spark, sf):
+    """Nodes renamed by the registry, each new id once a chunk, with the names that were absorbed."""
+    nodes, edges, registry = _graphs(spark, sf)
+    return E.apply_registry(nodes, edges, registry, ["Person", "Organization"])[0].select("chunk_id", "id", "type", "name", "aliases")
+
+
+@query(f"""WITH {GRAPHS}, e AS (SELECT chunk_id, id AS a, CASE WHEN pos % 11 = 0 THEN 'missing' ELSE lead(id) OVER (PARTITION BY chunk_id ORDER BY pos) END AS b FROM n)
+SELECT e.chunk_id, {SLUG.format('x.canonical')} AS source_id, {SLUG.format('y.canonical')} AS target_id, count(*) AS n FROM e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id WHERE {SLUG.format('x.canonical')} <> {SLUG.format('y.canonical')} GROUP BY 1, 2, 3""")
+def registry_apply_remap(spark, sf):
+    """Edges between the new ids; dangling ones and loops go."""
+    return E.apply_registry(*_graphs(spark, sf), ["Person", "Organization"])[1].groupBy("chunk_id", "source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {GRAPHS}, e AS (SELECT chunk_id, id AS a, CASE WHEN pos % 11 = 0 THEN 'missing' ELSE lead(id) OVER (PARTITION BY chunk_id ORDER BY pos) END AS b FROM n)
+SELECT (SELECT count(*) FROM n) AS nodes_before, (SELECT count(*) FROM e WHERE b IS NOT NULL) AS edges_before, (SELECT count(*) FROM m) AS nodes_after,
+(SELECT count(*) FROM e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id WHERE {SLUG.format('x.canonical')} <> {SLUG.format('y.canonical')}) AS edges_after""")
+def resolution_totals(spark, sf):
+    nodes, edges, registry = _graphs(spark, sf)
+    return E.totals(nodes, edges, *E.apply_registry(nodes, edges, registry, ["Person"]))
+
+
+@query(f"WITH {GRAPHS} SELECT x.chunk_id, x.name AS src, y.name AS dst FROM (SELECT chunk_id, id AS a, CASE WHEN pos % 11 = 0 THEN 'missing' ELSE lead(id) OVER (PARTITION BY chunk_id ORDER BY pos) END AS b FROM n) e JOIN n x ON e.a = x.id JOIN n y ON e.b = y.id")
+def local_edge_names(spark, sf):
+    """Edges between ids of a chunk as edges between names."""
+    nodes, edges, _ = _graphs(spark, sf)
+    return G.local_edges(nodes, edges).select("chunk_id", "src", "dst")
+
+
+@query("SELECT p_brand, p_name AS name, arg_max(type, p_partkey) AS type, min(p_partkey) AS p_partkey FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' ELSE 'Product' END AS type FROM part) WHERE type <> 'Product' GROUP BY 1, 2")
+def names_by_type(spark, sf):
+    nodes = table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_name").alias("name"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'Person' WHEN 1 THEN 'Organization' ELSE 'Product' END").alias("type"))
+    return E.names_by_type(nodes, "p_brand", "p_partkey", ["Person", "Organization"])
+
+
+@query("""WITH r AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS canonical, 0 AS method FROM part UNION ALL SELECT DISTINCT p_name, split_part(p_name, ' ', 2), 1 FROM part WHERE p_name LIKE 's%' OR p_name LIKE 'b%')
+SELECT name, arg_max(canonical, method) AS canonical, max(method) AS method FROM r GROUP BY name""")
+def registry_merge(spark, sf):
+    """Two registries as one: the later one wins."""
+    p = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
+    part = lambda i: F.split_part("name", F.lit(" "), F.lit(i)).alias("canonical")
+    return E.merge_registries(p.select("name", part(1)), p.where("name LIKE 's%' OR name LIKE 'b%'").select("name", part(2)))
+
+
+@query(f"WITH {EDGES} SELECT CASE WHEN type = 'IN_REGION' THEN 'LOCATED_IN' WHEN type = 'IN_NATION' THEN 'LOCATED_IN' ELSE type END AS type, count(*) AS n FROM e GROUP BY 1")
+def edge_type_remap(spark, sf):
+    """Synonyms of edge types as one type."""
+    e = _edges(spark, sf)
+    registry = E.edge_types(e).where("type LIKE 'IN%'").withColumn("canonical", F.lit("LOCATED_IN"))
+    return E.remap_edge_types(e, registry).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH o AS (SELECT p_name, list(DISTINCT p_brand ORDER BY p_brand) AS l FROM part GROUP BY p_name), n AS (SELECT p_name, list(DISTINCT p_type ORDER BY p_type) AS l FROM part GROUP BY p_name)
@@ -158,7 +215,7 @@ def fuzzy_clusters(spark, sf):
     return E.leader_clusters(names, "document", "person")
 
 
-@query("""SELECT split_part(p_name, ' ', 1) AS canonical, list(DISTINCT p_name ORDER BY p_name) AS evidence, count(DISTINCT p_name) AS n, 85.0::DOUBLE AS score FROM part GROUP BY 1""")
+@query("""SELECT split_part(p_name, ' ', 1) AS canonical, list(DISTINCT p_name ORDER BY p_name) AS evidence, count(DISTINCT p_name) AS n, 85.0::DOUBLE AS score, 'fuzzy' AS method FROM part GROUP BY 1""")
 def merge_provenance(spark, sf):
     reg = table(spark, sf, "part").select(F.col("p_name").alias("name"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("canonical")).distinct()
     return E.provenance(reg, 85.0).withColumn("n", F.col("n").cast("long"))
@@ -173,3 +230,81 @@ def graph_validate(spark, sf):
     edges = o.select(F.col("o_custkey").alias("chunk_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("source_id"), F.concat(F.lit("o"), (F.col("o_orderkey") + F.col("o_orderkey") % 2).cast("string")).alias("target_id"))
     n, e = G.validate(nodes, edges, ["Person", "Organization", "Location", "Technology", "Product", "Event", "Concept", "Document", "Law", "Date", "Amount"])
     return e.agg(F.count("*").alias("n_edges")).join(F.broadcast(n.agg(F.count_if(F.col("type") == "Concept").alias("n_concepts"))))  # one row each
+
+
+@query("""WITH x AS (SELECT 'Customer' AS type, c_name AS name, concat('doc', o_orderkey % 7) AS document_id, o_orderkey AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS status FROM orders JOIN customer ON o_custkey = c_custkey),
+c AS (SELECT 'Customer' AS type, c_name AS name, 'base' AS created_by, 'base' AS document_id, 'old' AS status FROM customer WHERE c_custkey % 2 = 0)
+SELECT type, name, coalesce(max(created_by), arg_min(x_doc, t)) AS created_by, coalesce(arg_max(x_doc, t), max(c_doc)) AS document_id, coalesce(arg_max(x_status, t) FILTER (x_status IS NOT NULL), max(c_status)) AS status
+FROM (SELECT type, name, NULL AS created_by, NULL AS c_doc, NULL AS c_status, document_id AS x_doc, t, status AS x_status FROM x UNION ALL SELECT type, name, created_by, document_id, status, NULL, NULL, NULL FROM c) GROUP BY type, name""")
+def graph_upsert_arrival(spark, sf):
+    """Nodes merged into a table that is there: creators stay, the last document to arrive owns, properties keep their last value."""
+    c = table(spark, sf, "customer")
+    new = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("Customer").alias("type"), F.col("c_name").alias("name"), F.concat(F.lit("doc"), (F.col("o_orderkey") % 7).cast("string")).alias("document_id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("status"))
+    current = c.where("c_custkey % 2 = 0").select(F.lit("Customer").alias("type"), F.col("c_name").alias("name"), F.lit("base").alias("created_by"), F.lit("base").alias("document_id"), F.lit("old").alias("status"))
+    return G.upsert_nodes(new, "at", current, ["status"])
+
+
+WORDS_OF = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+KEYWORDS = ["Supplier#000000001", "ASIA", "united", "supplier", "  "]
+
+
+def _seed_score(name: str) -> str:
+    n = WORDS_OF.format(name)
+    one = [f"CASE WHEN contains(' ' || {n} || ' ', ' ' || {WORDS_OF.format(repr(k))} || ' ') THEN len(string_split({WORDS_OF.format(repr(k))}, ' '))::DOUBLE / len(string_split({n}, ' ')) ELSE 0 END" for k in KEYWORDS if k.strip()]
+    return f"greatest({', '.join(one)})"
+
+
+@query(f"""WITH {EDGES}, {UNDIRECTED}, seed AS (SELECT name FROM (SELECT DISTINCT name FROM deg) WHERE {_seed_score('name')} > 0.3 AND name NOT LIKE 'Order#%'),
+h AS (SELECT src, type, dst, type2, leaf FROM (SELECT DISTINCT a.src, a.type, a.dst, b.type AS type2, b.dst AS leaf FROM u a LEFT JOIN (SELECT * FROM u WHERE type IN ('IN_REGION', 'PLACED_BY')) b ON a.dst = b.src WHERE a.src IN (SELECT name FROM seed)) ORDER BY src, type, dst, type2 NULLS FIRST, leaf NULLS FIRST LIMIT 50)
+SELECT src, '(' || src || CASE WHEN length(src) < 8 THEN ' (aka: the ' || src || ', ' || lower(src) || ')' ELSE '' END || ') -[' || type || ']-> (' || dst || ')' || CASE WHEN leaf IS NOT NULL THEN chr(10) || '  └─> [' || type2 || '] --> (' || leaf || ')' ELSE '' END AS line FROM h""")
+def graph_search(spark, sf):
+    """Lines on the edges around nodes that match some keywords, those of orders' documents left out."""
+    e = _edges(spark, sf)
+    nodes = G.degrees(e).select("name", F.when(F.col("name").startswith("Order#"), "orders").otherwise("people").alias("document_id"), F.when(F.length("name") < 8, F.array(F.concat(F.lit("the "), "name"), F.lower("name"))).alias("aliases"))
+    return G.search(nodes, e, KEYWORDS, ["IN_REGION", "PLACED_BY"], ["people"]).select("src", "line")
+
+
+@query(f"WITH {EDGES}, n AS (SELECT n_name AS name FROM nation UNION SELECT r_name FROM region UNION SELECT 'lonely') SELECT name, coalesce(degree, 0) AS degree FROM n LEFT JOIN deg USING (name) ORDER BY 2 DESC, 1 LIMIT 40")
+def top_nodes_with_zero(spark, sf):
+    """Nodes by degree, those without an edge too."""
+    nodes = table(spark, sf, "nation").select(F.col("n_name").alias("name")).union(table(spark, sf, "region").select("r_name")).union(spark.createDataFrame([("lonely",)], "name string"))
+    return G.top_degree(_edges(spark, sf), 40, nodes)
+
+
+@query("SELECT min(c_name) AS name FROM customer WHERE contains(lower(c_name), 'er#00000001')")
+def node_search_first(spark, sf):
+    return G.first_match(table(spark, sf, "customer").select(F.col("c_name").alias("name")), "  ER#00000001 ")
+
+
+@query("SELECT p_partkey, p_size > 20 AS labelled FROM part WHERE (p_partkey * 37) % 1000 BETWEEN 100 AND 700 AND (p_partkey * 91) % 1000 BETWEEN 50 AND 600")
+def label_gate(spark, sf):
+    """Nodes in the viewport, and whether they are large enough for a label."""
+    nodes = table(spark, sf, "part").select("p_partkey", ((F.col("p_partkey") * 37) % 1000).alias("x"), ((F.col("p_partkey") * 91) % 1000).alias("y"), F.col("p_size").alias("degree"))
+    return G.drawn(nodes, (100, 50, 700, 600), 20).select("p_partkey", "labelled")
+
+
+@query(f"""WITH {EDGES}, s AS (SELECT type, count(DISTINCT name) AS nodes, count(*) // 2 AS links FROM (SELECT type, src AS name FROM e UNION ALL SELECT type, dst FROM e) GROUP BY type)
+SELECT type, concat(nodes, ':', links) AS shape, CASE WHEN nodes <= 500 THEN 'small' WHEN nodes <= 2000 THEN 'medium' ELSE 'large' END AS tier, type <> 'IN_REGION' AS changed FROM s""")
+def graph_change(spark, sf):
+    """The shape of each kind of edges' graph, how much of it is drawn, and whether it differs from the first's."""
+    e = _edges(spark, sf)
+    parts = [G.shape(e.where(F.col("type") == t)).withColumn("type", F.lit(t)) for t in ("IN_REGION", "IN_NATION", "PLACED_BY")]
+    first = G.shape(e.where("type = 'IN_REGION'")).select(F.col("shape").alias("was"))
+    every = parts[0].union(parts[1]).union(parts[2]).join(F.broadcast(first))  # one row
+    return every.select("type", "shape", T.graph_tier(F.split_part("shape", F.lit(":"), F.lit(1)).cast("long")).alias("tier"), (F.col("shape") != F.col("was")).alias("changed"))
+
+
+@query("SELECT 'Part' AS type, p_name AS name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def duplicate_keys(spark, sf):
+    return G.duplicate_keys(table(spark, sf, "part").select(F.lit("Part").alias("type"), F.col("p_name").alias("name")), ["Part"])
+
+
+@query("""WITH n AS (SELECT s_suppkey, s_nationkey, concat(n_name, ' trading company ', s_nationkey) AS full_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x AS (SELECT *, CASE s_suppkey % 4 WHEN 0 THEN concat('The ', full_name) WHEN 1 THEN concat(left(full_name, 4), substr(full_name, 6)) WHEN 2 THEN concat('Old ', full_name, ' Ltd') ELSE upper(full_name) END AS name FROM n)
+SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN name ELSE concat('Canon ', s_nationkey) END AS canonical FROM x""")
+def alias_resolve_fuzzy(spark, sf):
+    """Names with a letter missing find their alias; names with more than that don't."""
+    n = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("full_name", F.concat("n_name", F.lit(" trading company "), F.col("s_nationkey").cast("string")))
+    name = F.expr("CASE s_suppkey % 4 WHEN 0 THEN concat('The ', full_name) WHEN 1 THEN concat(left(full_name, 4), substr(full_name, 6)) WHEN 2 THEN concat('Old ', full_name, ' Ltd') ELSE upper(full_name) END")
+    registry = n.select(F.lit(1).alias("document"), F.col("full_name").alias("alias"), F.concat(F.lit("Canon "), F.col("s_nationkey").cast("string")).alias("canonical")).distinct()
+    return E.fuzzy_aliases(n.select(F.lit(1).alias("document"), "s_suppkey", name.alias("name")), registry, "document").select("s_suppkey", "canonical")

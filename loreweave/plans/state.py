@@ -81,9 +81,12 @@ def dashboard_overview(spark, sf):
 @query(f"WITH {FILES} SELECT filename, row_number() OVER (ORDER BY size, filename) AS by_size, row_number() OVER (ORDER BY coalesce(uploaded_at, '0') DESC, filename) AS by_date, row_number() OVER (ORDER BY lower(filename), filename) AS by_name FROM j")
 def sort_documents(spark, sf):
     """Places of the files (one row for each source) in the three orders of the listing."""
-    rank = lambda *o: F.row_number().over(Window.orderBy(*o)).cast("long")
     d = _listing(spark, sf)
-    return d.select("filename", rank(F.coalesce("size", F.lit(0)), "filename").alias("by_size"), rank(F.coalesce("uploaded_at", F.lit("0")).desc(), "filename").alias("by_date"), rank(F.lower("filename"), "filename").alias("by_name"))
+    orders = {"by_size": [F.coalesce("size", F.lit(0))], "by_date": [F.coalesce("uploaded_at", F.lit("0")).desc()], "by_name": [F.lower("filename")]}
+    out = d.select("filename")
+    for name, keys in orders.items():
+        out = out.join(S.placed(d, [*keys, F.col("filename")], name).select("filename", name), "filename")
+    return out
 
 
 @query("SELECT conv_id, turn, role, back <= 2 AS server_window FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6")
@@ -126,9 +129,12 @@ def char_proximity(spark, sf):
     return names.select("filename", T.proximity(F.lower("filename"), F.lit("rep")).alias("rep"), T.proximity(F.lower("filename"), F.lit("sr1")).alias("sr1"))
 
 
-@query("SELECT DISTINCT p_name, regexp_replace(p_name, '(ee)', '<mark>\\1</mark>', 'gi') AS marked FROM part")
+@query("""SELECT DISTINCT p_name, CASE WHEN instr(lower(p_name), 'e') > 0 THEN substr(p_name, 1, instr(lower(p_name), 'e') - 1) || '<mark>' || substr(p_name, instr(lower(p_name), 'e'), 1) || '</mark>' || substr(p_name, instr(lower(p_name), 'e') + 1) ELSE p_name END AS marked,
+regexp_replace(regexp_replace(p_name, '(?i)^(.*?)(st)', '\\1<mark>\\2</mark>'), '(?i)^(.*?)(ee)', '\\1<mark>\\2</mark>') AS by_word FROM part""")
 def highlight_match(spark, sf):
-    return table(spark, sf, "part").select("p_name").distinct().withColumn("marked", T.highlight(F.col("p_name"), "ee"))
+    """The term's first occurrence marked, or else the first of each of its words."""
+    p = table(spark, sf, "part").select("p_name").distinct()
+    return p.withColumn("marked", T.highlight(F.col("p_name"), "E")).withColumn("by_word", T.highlight(F.col("p_name"), "ST  ee"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c > 0.7 THEN 'green' WHEN c > 0.3 THEN 'yellow' ELSE 'red' END AS band FROM (SELECT o_orderkey, (o_orderkey % 100) / 100.0::DOUBLE AS c FROM orders)")
@@ -152,3 +158,82 @@ def carry_forward(spark, sf):
 @query("SELECT quality, toxic, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality, toxic")
 def label_evaluation(spark, sf):
     return table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+UPDATES = """u AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' END AS status,
+CASE WHEN event_type = 'signup' THEN concat('task', event_id) END AS task_id, CASE WHEN event_type = 'signup' THEN concat('t', event_id) END AS uploaded_at,
+CASE event_type WHEN 'signup' THEN '' WHEN 'purchase' THEN concat('c', event_id) WHEN 'error' THEN concat('c', event_id) WHEN 'click' THEN concat('c', event_id) END AS completed_at,
+CASE event_type WHEN 'signup' THEN '' WHEN 'error' THEN repeat(concat('e', event_id), 200) END AS error FROM events WHERE event_type <> 'view')"""
+LAST = ", ".join(f"arg_max({c}, struct_pack(ts, event_id)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("task_id", "status", "uploaded_at", "completed_at", "error"))
+
+
+def _updates(spark, sf) -> DataFrame:
+    """What each event writes: an upload all fields, the others their own."""
+    kind, n = F.col("event_type"), F.col("event_id").cast("string")
+    ended = kind.isin("purchase", "error", "click")
+    return S.with_status(table(spark, sf, "events")).select(
+        "user_id", "ts", "event_id", "status", F.when(kind == "signup", F.concat(F.lit("task"), n)).alias("task_id"), F.when(kind == "signup", F.concat(F.lit("t"), n)).alias("uploaded_at"),
+        F.when(kind == "signup", "").when(ended, F.concat(F.lit("c"), n)).alias("completed_at"), F.when(kind == "signup", "").when(kind == "error", F.repeat(F.concat(F.lit("e"), n), 200)).alias("error"),
+    )
+
+
+@query(f"WITH {UPDATES}, x AS (SELECT user_id, {LAST} FROM u GROUP BY user_id) SELECT user_id, task_id, status, uploaded_at, nullif(completed_at, '') AS completed_at, nullif(substr(error, 1, 500), '') AS error FROM x")
+def job_fields(spark, sf):
+    """The hash of each job after partial updates: a field keeps its last value that was written."""
+    return S.fields(_updates(spark, sf), "user_id", ["ts", "event_id"]).drop("ttl_seconds")
+
+
+@query(f"WITH {STATE} SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM last WHERE status = 'cancelled') GROUP BY user_id")
+def cancel_cleanup(spark, sf):
+    """What is left of running work once cancelled keys are dropped."""
+    ev = table(spark, sf, "events")
+    return S.cancelled_removed(ev, S.latest(ev), "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STATE} SELECT user_id, status FROM last WHERE user_id % 10 <> 3")
+def state_delete(spark, sf):
+    """States without the exact keys that were deleted."""
+    states = S.latest(table(spark, sf, "events"))
+    return S.without(states, states.where("user_id % 10 = 3"), "user_id").select("user_id", "status")
+
+
+@query(f"""WITH {STATE} SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILURE' END AS task_status, status FROM last WHERE user_id % 3 < 2 AND status <> 'processing'""")
+def terminal_reconciliation(spark, sf):
+    """Uploads that are over: the task ended, and the document's state says so too."""
+    states = S.latest(table(spark, sf, "events"))
+    tasks = states.select("user_id", F.expr("CASE user_id % 3 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILURE' ELSE 'STARTED' END").alias("task_status"))
+    return S.settled(tasks, states, "user_id")
+
+
+@query(f"WITH {FILES} SELECT filename, status FROM j ORDER BY coalesce(uploaded_at, '0000') DESC, filename LIMIT 8")
+def recent_documents(spark, sf):
+    return S.recent(_listing(spark, sf)).select("filename", "status")
+
+
+@query(f"WITH {FILES} SELECT filename FROM j WHERE status = 'completed'")
+def completed_files(spark, sf):
+    return S.select_completed(_listing(spark, sf))
+
+
+@query(f"WITH {FILES} SELECT filename, status FROM j WHERE filename IN ('src1', 'src4')")
+def summary_selection(spark, sf):
+    return S.shown_in_summary(_listing(spark, sf), ["src1", "src4"]).select("filename", "status")
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a', 'b', 'c', role] ELSE ['a'] END AS selected FROM conversations")
+def toggle_selection(spark, sf):
+    """A file that is selected is taken out, another one is added at the end."""
+    held = F.expr("CASE turn % 3 WHEN 0 THEN array('a', role, 'b') WHEN 1 THEN array('a', 'b', 'c') ELSE array('a', role) END")
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.toggled(held, F.col("role")).alias("selected"))
+
+
+@query("SELECT CASE WHEN bool_and(r_regionkey <> 2) THEN 'healthy' ELSE 'degraded' END AS status, list(concat(r_name, '=', CASE WHEN r_regionkey = 2 THEN 'error' ELSE 'ok' END) ORDER BY concat(r_name, '=', CASE WHEN r_regionkey = 2 THEN 'error' ELSE 'ok' END)) AS checks FROM region")
+def health_report(spark, sf):
+    return S.health(table(spark, sf, "region").select(F.col("r_name").alias("service"), F.when(F.col("r_regionkey") == 2, "error").otherwise("ok").alias("result")))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN true ELSE o_custkey % 600 = 429 OR o_custkey % 600 >= 500 END AS retryable FROM orders")
+def retryable_failures(spark, sf):
+    o = table(spark, sf, "orders")
+    kind = F.expr("CASE o_orderkey % 4 WHEN 0 THEN 'value' WHEN 1 THEN 'timeout' WHEN 2 THEN 'connection' ELSE 'http' END")
+    return o.select("o_orderkey", T.is_retryable(kind, F.when(F.col("o_orderkey") % 4 == 3, F.col("o_custkey") % 600)).alias("retryable"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import chunks as C
 from ..operators import retrieval as R
 from ..sources.tables import table
 
@@ -105,9 +106,70 @@ def page_link_edges(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.lit("LINKS_TO").alias("type"), F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("target")).distinct()
 
 
-@query("SELECT source, string_agg(text, chr(12) ORDER BY doc_id) AS window_text FROM documents GROUP BY source")
-def alias_window_source(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.expr("listagg(text, chr(12)) WITHIN GROUP (ORDER BY doc_id)").alias("window_text"))
+@query(None)
+def alias_windows(spark, sf):
+    """Where documents define their terms: after a header, around a definition, and the whole text or its ends; the tests hold it against the rule."""
+    text = F.expr("""CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('x ', doc_id, chr(10), 'Definitions', chr(10), text) ELSE concat('x', chr(10), 'the Buyer ("Acme Group") agrees', chr(10), chr(10), text) END""")
+    return table(spark, sf, "documents").select("doc_id", T.alias_window(text).alias("window_text"))
+
+
+DEFINED = """CASE c_custkey % 5 WHEN 0 THEN concat('Acme (the "Unit ', chr(65 + c_custkey % 26), '") and Beta hereinafter referred to as "B', c_custkey, '"') WHEN 1 THEN concat('“Fee ', chr(65 + c_custkey % 26), '” means ', c_custkey)
+WHEN 2 THEN concat('(collectively, the "Group ', c_custkey, '") or ("the Rest")') WHEN 3 THEN 'nothing "quoted" here' ELSE concat('hereinafter "x', c_custkey, '" and "Plan" refers to it') END"""
+
+
+@query(f"""SELECT c_custkey, unnest(CASE c_custkey % 5 WHEN 0 THEN [concat('Unit ', chr((65 + c_custkey % 26)::INTEGER)), concat('B', c_custkey)] WHEN 1 THEN [concat('Fee ', chr((65 + c_custkey % 26)::INTEGER))] WHEN 2 THEN ['the Rest', concat('Group ', c_custkey)] WHEN 3 THEN CAST([] AS VARCHAR[]) ELSE [concat('x', c_custkey), 'Plan'] END) AS term FROM customer""")
+def definition_terms(spark, sf):
+    """Terms that texts define in quotes."""
+    return table(spark, sf, "customer").select("c_custkey", F.explode(T.defined_terms(F.expr(DEFINED))).alias("term"))
+
+
+@query("""SELECT o_orderkey, json_extract_string(j, '$.a') AS a, json_extract_string(j, '$.b') AS b FROM (SELECT o_orderkey, nullif(regexp_extract(raw, '\\{(.|\\n)*\\}'), '') AS j FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN concat('Sure: ```json', chr(10), '{"a": "', o_custkey, '",', chr(10), ' "b": "x"}', chr(10), '``` done') WHEN 1 THEN concat('{"a": ', o_custkey, '}') ELSE 'none' END AS raw FROM orders))""")
+def json_object_salvage(spark, sf):
+    """Values of the object that a model's text holds somewhere."""
+    raw = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN concat('Sure: ```json', chr(10), '{"a": "', o_custkey, '",', chr(10), ' "b": "x"}', chr(10), '``` done') WHEN 1 THEN concat('{"a": ', o_custkey, '}') ELSE 'none' END""")
+    found = table(spark, sf, "orders").select("o_orderkey", T.json_object(raw).alias("m"))
+    return found.select("o_orderkey", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat('Intro', chr(10), '> ## Summary', chr(10), '> It is ', o_custkey, chr(10), '# Next', chr(10), 'a') WHEN 1 THEN concat('> # key takeaways', chr(10), '> one', chr(10), '> two ', o_custkey) WHEN 2 THEN concat('## Other', chr(10), o_custkey)
+ELSE concat('a', chr(10), '> ### Conclusion of ', o_custkey, chr(10), '> ### Recommendation', chr(10), '> b') END AS quoted FROM orders""")
+def quoted_sections(spark, sf):
+    """Sections under key headings as quotes."""
+    md = F.expr("""CASE o_orderkey % 4 WHEN 0 THEN concat('Intro', chr(10), '## Summary', chr(10), 'It is ', o_custkey, chr(10), '# Next', chr(10), 'a') WHEN 1 THEN concat('# key takeaways', chr(10), 'one', chr(10), 'two ', o_custkey) WHEN 2 THEN concat('## Other', chr(10), o_custkey)
+ELSE concat('a', chr(10), '### Conclusion of ', o_custkey, chr(10), '### Recommendation', chr(10), 'b') END""")
+    return table(spark, sf, "orders").select("o_orderkey", T.quote_key_sections(md).alias("quoted"))
+
+
+PAGES = "SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents"
+
+
+@query(f"""SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN 1 ELSE i END::INTEGER AS page, length(trim(line)) AS n_chars FROM ({PAGES}) WHERE length(trim(line)) > 0""")
+def page_rows(spark, sf):
+    """Lines as a parser's pages: labels that are no numbers count as page 1, empty pages go."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    label = F.when(F.col("i") % 3 == 0, F.concat(F.lit("p"), F.col("i").cast("string"))).otherwise(F.col("i").cast("string"))
+    return C.page_rows(lines, label, F.col("line")).select("doc_id", F.col("i").cast("long").alias("i"), "page", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, md5(replace(text, chr(10), chr(10) || chr(10))) AS digest, 0::BIGINT AS first_page, len(string_split(text, chr(10))) - 1 AS last_page FROM documents")
+def raw_text_pages(spark, sf):
+    """The lines of a document as the pages of one text, with its first and last page."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    ends = d.groupBy("doc_id").agg(F.min("page").cast("long").alias("first_page"), F.max("page").cast("long").alias("last_page"))
+    return C.raw_text(d, "doc_id", "page").join(ends, "doc_id").select("doc_id", F.md5("raw_text").alias("digest"), "first_page", "last_page")
+
+
+@query(None)
+def title_chunks(spark, sf):
+    """Chunks of all documents by title; the tests hold them against the rule."""
+    return C.title_chunks(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "chunk_ix", "section", "type", "page_range", "text")
+
+
+@query(None)
+def semantic_chunks(spark, sf):
+    """Chunks of all documents by title, then by meaning; the likeness of sentences is a stub's."""
+    chunks = C.title_chunks(table(spark, sf, "documents").select("doc_id", "text"))
+    return C.semantic_chunks(chunks).select("doc_id", "chunk_id", "section", "text")
 
 
 @query("""SELECT conv_id, turn, regexp_replace(lower(trim(concat(' The ', role, ' ', conv_id % 9))), '^the ', '') AS alias_key,
