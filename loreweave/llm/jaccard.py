@@ -78,7 +78,7 @@ def _ask(table: pa.Table, k: int, n_buckets: int) -> pa.Table:
     u, n, bucket = _asked(sets, _first_of_each(doc, sets, _signatures(sets)), n_buckets)
     key, count = (u & LOW).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
     present, start = np.unique(bucket, return_index=True)
-    ends = [*start[1:].tolist(), len(u)]
+    ends = [*start[1:].tolist(), len(u)][: len(start)]
     batch = table.column("batch")[0].as_py()
     return pa.table({"bucket": pa.array(present.astype(np.int32)), "batch": pa.array([batch] * len(present), pa.int32()), "key": pa.array([key[a:z].tobytes() for a, z in zip(start, ends, strict=True)], pa.binary()), "n": pa.array([count[a:z].tobytes() for a, z in zip(start, ends, strict=True)], pa.binary())})
 

@@ -211,7 +211,7 @@ def _entries(docs: pa.Table, length: int, n_buckets: int) -> dict:
 def _ask(docs: pa.Table, length: int, n_buckets: int) -> pa.Table:
     f = _entries(docs, length, n_buckets)
     present, first = np.unique(f["e_bucket"], return_index=True)
-    last = [*first[1:].tolist(), len(f["e_bucket"])]
+    last = [*first[1:].tolist(), len(f["e_bucket"])][: len(first)]
     base = int(f["e_doc"].min()) if len(f["e_doc"]) else 0
     gap = f["e_doc"] - base
     kind = np.uint32 if len(gap) and 0 <= gap.min() and gap.max() < 1 << 32 else np.int64

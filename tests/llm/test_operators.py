@@ -621,3 +621,13 @@ def test_words_in_pieces():
     buf = np.frombuffer(text, np.uint8)
     whole, cut = (tb.words(buf, np.array([0]), np.array([len(buf)]), size=s) for s in (1 << 20, 700))
     assert all((a == b).all() for a, b in zip(whole, cut, strict=True)) and len(whole[0]) == 12000
+
+
+@pytest.mark.parametrize("texts", [["", None, "a"], ["short", "short", "tiny"], [None]])
+def test_short_texts_only(spark, texts):
+    """Tables in which no text is long enough for a window, a shingle or a span."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in suffix.dedup_substrings(df).collect()] == [0] * len(texts)
+    comp = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert comp == {i: min(k for k, t in enumerate(texts) if (t == x and t) or k == i) for i, x in enumerate(texts)}
+    assert sentences.dedup_sentences(df).count() == fingerprint.fingerprints(df).count() == packing.pack(df).count() == len(texts)
