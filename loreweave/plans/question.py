@@ -94,16 +94,27 @@ def invented_arithmetic(spark, sf):
     return t.select("o_orderkey", F.size(D.invented_sums(F.col("a"), F.col("c"))).alias("n_invented"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'documented_conflict' WHEN o_orderkey % 3 = 1 THEN 'revision' ELSE 'none' END AS contradiction FROM orders""")
+SOURCE = """concat(CASE o_orderkey % 5 WHEN 0 THEN 'There is a Direct Conflict between A and B. ' WHEN 1 THEN 'The figure was revised TO 7. ' WHEN 2 THEN 'All agree. ' WHEN 3 THEN 'Readers are specifically advised of it. ' ELSE '' END,
+CASE o_custkey % 6 WHEN 0 THEN 'It Should Be ' WHEN 1 THEN 'This must be reconciled with ' WHEN 2 THEN 'restated  as ' WHEN 3 THEN 'Amended to ' ELSE 'Equal to ' END, o_custkey)"""
+
+
+def _says(items: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(c), '{x}')" for x in items) + ")"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_says(T.CONFLICT)} THEN 'documented_conflict' WHEN {_says(T.REVISION)} THEN 'revision' ELSE 'none' END AS contradiction FROM (SELECT o_orderkey, {SOURCE} AS c FROM orders)")
 def contradiction_class(spark, sf):
-    c = F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('There is a Direct Conflict between A and B, later Revised to ', o_custkey) WHEN 1 THEN 'The figure was revised TO 7' ELSE 'All agree' END")
-    return table(spark, sf, "orders").select("o_orderkey", T.contradiction(c).alias("contradiction"))
+    return table(spark, sf, "orders").select("o_orderkey", T.contradiction(F.expr(SOURCE)).alias("contradiction"))
 
 
-TERM = "CASE o_orderkey % 5 WHEN 0 THEN concat('term = 2 years for ', o_custkey) WHEN 1 THEN concat('a two-year lease ', o_custkey) WHEN 2 THEN concat('twenty-four (24) months at ', o_custkey) WHEN 3 THEN concat('36-month plan ', o_custkey) ELSE concat('FIVE year note ', o_custkey) END"
+TERM = """concat(CASE o_orderkey % 7 WHEN 0 THEN 'term = 2 years for ' WHEN 1 THEN 'a two-year lease ' WHEN 2 THEN 'twenty-four (24) months at ' WHEN 3 THEN '36-month plan ' WHEN 4 THEN 'FIVE year note ' WHEN 5 THEN 'twelve months, 12-month and one year ' ELSE 'two yearly ' END, o_custkey % 5,
+CASE o_custkey % 4 WHEN 0 THEN '-year bond' WHEN 1 THEN ' year bond' WHEN 2 THEN ' years after thirty-six months' ELSE ' months' END)"""
+NORMALISED = "t"
+for _pattern, _months in T.DURATIONS:
+    NORMALISED = f"regexp_replace({NORMALISED}, '{_pattern}', '{_months}_months', 'gi')"
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('term = 24_months for ', o_custkey) WHEN 1 THEN concat('a 24_months lease ', o_custkey) WHEN 2 THEN concat('24_months at ', o_custkey) WHEN 3 THEN concat('36_months plan ', o_custkey) ELSE concat('60_months note ', o_custkey) END AS normalised FROM orders""")
+@query(f"SELECT o_orderkey, {NORMALISED} AS normalised FROM (SELECT o_orderkey, {TERM} AS t FROM orders)")
 def duration_norm(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.normalise_durations(F.expr(TERM)).alias("normalised"))
 
@@ -116,10 +127,13 @@ def reference_filter(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.expr(REFERENCE).alias("predicate")).where(~T.is_reference(F.col("predicate")))
 
 
-@query("SELECT o_orderkey AS grp FROM orders WHERE o_orderkey % 3 = 0")
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS grp, unnest(list_concat(list_transform(range(0, o_orderkey % 6), lambda i: concat('v', i, ' = v', i + 1, ' * ', o_custkey, ' if in ', 'w', i)), CASE WHEN o_custkey % 3 = 0 THEN [concat('v', o_orderkey % 6, ' = 2 + v0'), 'forall(x) = v0'] WHEN o_custkey % 3 = 1 THEN ['v0 = v0 + 1', 'v1 == v0'] ELSE ['exists = v0'] END)) AS p FROM orders),
+e AS (SELECT DISTINCT grp, src, dst FROM (SELECT grp, regexp_extract(p, '^(\\w+)\\s*=\\s*(.+)$', 1) AS src, unnest(regexp_extract_all(regexp_extract(p, '^(\\w+)\\s*=\\s*(.+)$', 2), '\\b([a-zA-Z_]\\w*)\\b', 1)) AS dst FROM p WHERE NOT starts_with(p, 'forall') AND NOT starts_with(p, 'exists')) WHERE src <> '' AND src <> dst AND dst NOT IN ('if', 'in')),
+r(grp, src, dst) AS (SELECT grp, src, dst FROM e UNION SELECT r.grp, r.src, e.dst FROM r JOIN e ON r.grp = e.grp AND r.dst = e.src) SELECT DISTINCT grp FROM r WHERE src = dst""")
 def circular_definitions(spark, sf):
     """Groups of predicates whose definitions go round: edges from the name left of = to the names right of it."""
-    p = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN array('ratio = transactions / records', concat('transactions = ratio * ', o_custkey), 'forall(x) = y') WHEN 1 THEN array('a = b + 1', 'b = c') ELSE array('a = a + 1', 'exists = a') END""")
+    p = F.expr("""concat(CASE WHEN o_orderkey % 6 > 0 THEN transform(sequence(0L, o_orderkey % 6 - 1), i -> concat('v', i, ' = v', i + 1, ' * ', o_custkey, ' if in ', 'w', i)) ELSE array() END,
+CASE o_custkey % 3 WHEN 0 THEN array(concat('v', o_orderkey % 6, ' = 2 + v0'), 'forall(x) = v0') WHEN 1 THEN array('v0 = v0 + 1', 'v1 == v0') ELSE array('exists = v0') END)""")
     preds = table(spark, sf, "orders").select(F.col("o_orderkey").alias("grp"), F.explode(p).alias("p")).where(~F.lower(F.trim("p")).rlike(r"^(forall|exists|∀|∃|all\(|any\()"))
     left, right = F.regexp_extract(F.trim("p"), r"^(\w+)\s*=\s*(.+)$", 1), F.regexp_extract(F.trim("p"), r"^(\w+)\s*=\s*(.+)$", 2)
     edges = preds.select("grp", left.alias("src"), F.explode(F.regexp_extract_all(right, F.lit(r"\b([a-zA-Z_]\w*)\b"), F.lit(1))).alias("dst")).where((F.col("src") != "") & (F.col("src") != F.col("dst")) & ~F.col("dst").isin(T.DEFINITION_SKIP))
