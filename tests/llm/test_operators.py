@@ -550,8 +550,12 @@ def test_quality(spark):
 
 
 def test_quality_held_out(spark):
-    """Fitted without a fifth of the labelled rows, the break-even weight tells those rows apart."""
-    sf = "/root/testdata/sf0.01"
+    """Fitted without a fifth of the labelled rows, the break-even weight tells those rows apart.
+
+    On the largest table: scale 0.01 has too few labelled rows to fit on, and
+    keeps 0.84 of 63 good ones that it hasn't seen.
+    """
+    sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     r = quality.resample(docs, labels.where("doc_id % 5 <> 0")).join(labels.where("doc_id % 5 = 0"), "doc_id").toPandas()
     assert r[r.quality == 1].selected.mean() > 0.95 and r[r.quality == 0].selected.mean() < 0.25
