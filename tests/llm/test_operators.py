@@ -149,6 +149,36 @@ def test_anchor_blocks():
     assert one["count"].sum() == cut["count"].sum() == len(text) - 49
 
 
+def test_suffix_sends_only_what_can_match():
+    """A phrase of many texts gives stretches one anchor; only those that agree beside it too are sent."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    texts = [f"{word(60)} of the same phrase {word(60)}" for _ in range(400)]
+    texts[7] = texts[3][10:70] + word(80)
+    table = pa.table({"batch": pa.array([0] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "text": texts})
+    asked = suffix._ask(table, 50, 1)
+    sent = sum(int((np.frombuffer(x, np.uint8) & 2 > 0).sum()) for x in suffix._answer(asked, 2000).column("code").to_pylist())
+    grams = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 32):
+            grams[t[p : p + 33]].add(i)
+    shared = sum(len(x) for x in grams.values() if len(x) > 1)
+    assert 0 < sent <= shared + 10
+
+
+@pytest.mark.parametrize("length", [17, 18, 25, 33, 50, 51, 120])
+def test_suffix_lengths(spark, length):
+    """Shared passages of every length about the limit, at any place, in few letters and in many; wide ids."""
+    rng = np.random.default_rng(length)
+    word = lambda n, k=10: "".join(rng.choice(list("abcdefghij"[:k]), n))
+    rows, own = [], [word(length + d) for d in range(-2, 6)] + [word(length // 2 + 17) for _ in range(3)]
+    for i in range(300):
+        parts = [word(rng.integers(0, length)), own[rng.integers(len(own))], word(rng.integers(0, 9), 2), own[rng.integers(len(own))], word(rng.integers(0, 40))]
+        rows.append((int(i + (1 << 30) * (i % 7 == 0)), "".join(parts)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length).collect()}
+    assert got == suffix_truth(rows, length)
+
+
 def split_sentences(text, longest=20):
     """(first byte, words) of each sentence, word by word."""
     out = []
