@@ -155,7 +155,7 @@ def test_suffix_sends_only_what_can_match():
     word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
     texts = [f"{word(60)} of the same phrase {word(60)}" for _ in range(400)]
     texts[7] = texts[3][10:70] + word(80)
-    table = pa.table({"batch": pa.array([0] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "text": texts})
+    table = pa.table({"batch": pa.array([0] * len(texts), pa.int32()), "doc_id": list(range(len(texts))), "text": suffix._zipped(pa.array(texts))})
     asked = suffix._ask(table, 50, 1)
     sent = sum(int((np.frombuffer(x, np.uint8) & 2 > 0).sum()) for x in suffix._answer(asked, 2000).column("code").to_pylist())
     grams = collections.defaultdict(set)
@@ -166,6 +166,15 @@ def test_suffix_sends_only_what_can_match():
     assert 0 < sent <= shared + 10
 
 
+def test_suffix_texts_are_shuffled_compressed(docs):
+    """What the batches hold of the texts is under 0.6 of their bytes, and gives them back."""
+    texts = pa.array([*(r.text for r in docs.select("text").collect()), "", None], pa.string())
+    held = suffix._zipped(texts)
+    assert sum(len(x or b"") for x in held.to_pylist()) < 0.6 * sum(len((x or "").encode()) for x in texts.to_pylist())
+    back = suffix._unzipped(pa.table({"text": held})).column("text").to_pylist()
+    assert back == [x if x is None else x.encode() for x in texts.to_pylist()]
+
+
 @pytest.mark.parametrize("length", [17, 18, 25, 33, 50, 51, 120])
 def test_suffix_lengths(spark, length):
     """Shared passages of every length about the limit, at any place, in few letters and in many; wide ids."""
