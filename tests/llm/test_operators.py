@@ -466,6 +466,18 @@ def test_html_large_host(spark):
     assert all(got[i] == own(i) for i in range(60)) and all(got[i] == f"{said(i // 2)}\n\n{own(i)}" for i in range(60, 100)) and all(got[i] == f"short\n\n{own(i)}" for i in range(100, 1300))
 
 
+def test_html_marked_pages_are_evidence(spark):
+    """What stands beside two marked articles and on a page without one is shared by three pages; a quoted passage isn't evidence."""
+    pitch, quoted = "read our paper every day for only two coins", "to be or not to be that is the question here"
+    rows = [(i, "http://h.example/", f"<div>{pitch}</div><div>teaser {i}</div><article><p>only {i} of it</p><p>{quoted}</p></article>") for i in (1, 2)]
+    rows.append((3, "http://h.example/", f"<div>{pitch}</div><div>story</div><div>{quoted}</div>"))
+    rows.append((4, "http://other.example/", f"<div>{pitch}</div>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"only 1 of it\n\n{quoted}" and got[2] == f"only 2 of it\n\n{quoted}"
+    assert got[4] == pitch
+    assert got[3] == f"story\n\n{quoted}"
+
+
 def html_truth(rows, least=8, pages=3):
     """Blocks without the tokens of runs that enough distinct token streams of a host share, for pages that mark no article."""
     parsed, seen = {}, collections.defaultdict(set)
